@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from commitlake.functions.jsonx import json_object
-from commitlake.operators import stamps
+from commitlake.operators import dedup, stamps
 from commitlake.sources.tables import table
 
 #: Instants of the test tables lie between August 2025 and January 2027 (TESTDATA.md); a day more on either side.
@@ -54,5 +54,53 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return normal_stamps(spark, folder).where(~F.col("normal") & F.col("utc_us").isNotNull()).select("table_name", "row_id", "field_name", "utc_us")
 
 
-QUERIES = {"p1_found": p1_found}
-ORACLES: dict[str, str] = {}
+#: Days of delivery that are ingested together.
+DAYS_AT_ONCE = 128
+
+
+def identifiers(spark: SparkSession, folder: str) -> DataFrame:
+    """Every occurrence of an identifier: scope (the table), id, batch_no, row_id, part, pos.
+
+    part tells the arrays of one record apart: 0 outside of an array, 1 in ``$set.messages``, 2 in ``messages``.
+    """
+    columns = ["batch_no", "row_id"]
+    codex = table(spark, folder, "codex_lines").select(*columns, json_object(F.col("raw"), "payload struct<response_id:string>")["payload"]["response_id"].alias("id"))
+    rec = json_object(F.col("raw"), "id string, `$set` struct<messages:array<struct<id:string>>>, messages array<struct<id:string>>").alias("rec")
+    at = lambda array, part: F.coalesce(F.transform(array, lambda x, i: F.struct(F.lit(part).alias("part"), i.cast("bigint").alias("pos"), x["id"].alias("id"))), F.array())
+    top = F.array(F.struct(F.lit(0).alias("part"), F.lit(-1).cast("bigint").alias("pos"), F.col("rec.id").alias("id")))
+    gemini = table(spark, folder, "gemini_lines").select(*columns, rec).select(*columns, F.explode(F.concat(top, at(F.col("rec.$set.messages"), 1), at(F.col("rec.messages"), 2))).alias("x"))
+    plain = lambda df: df.withColumns({"part": F.lit(0), "pos": F.lit(-1).cast("bigint")})
+    parts = {
+        "codex_lines": plain(codex),
+        "gemini_lines": gemini.select(*columns, "x.*"),
+        "message": plain(table(spark, folder, "message").select(*columns, "id")),
+        "assistant_usage_events": plain(table(spark, folder, "assistant_usage_events").select(*columns, F.col("id").cast("string").alias("id"))),
+    }
+    return reduce(DataFrame.unionByName, (df.withColumn("scope", F.lit(name)) for name, df in parts.items()))
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Surplus copies of every identifier, each delivery compared with the index of all earlier ones."""
+    found = dedup.surplus_copies(
+        identifiers(spark, folder), batch=F.floor(F.col("batch_no") / DAYS_AT_ONCE), order=["batch_no", "row_id", "pos", "part"], key=["row_id", "pos", "part"]
+    )
+    return found.select(F.col("scope").alias("table_name"), "row_id", "pos")
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found}
+ORACLES: dict[str, str] = {
+    "p2_found": """
+        WITH gemini AS (SELECT batch_no, row_id, CASE WHEN json_valid(raw) AND json_type(raw) = 'OBJECT' THEN raw END AS j FROM gemini_lines),
+        codex AS (SELECT batch_no, row_id, CASE WHEN json_valid(raw) AND json_type(raw) = 'OBJECT' THEN raw END AS j FROM codex_lines),
+        found AS (
+            SELECT 'codex_lines' AS table_name, batch_no, row_id, -1 AS pos, json_extract_string(j, '$.payload.response_id') AS id FROM codex
+            UNION ALL SELECT 'gemini_lines', batch_no, row_id, -1, json_extract_string(j, '$.id') FROM gemini
+            UNION ALL SELECT 'gemini_lines', batch_no, row_id, k, json_extract_string(j, '$."$set".messages[' || k || '].id')
+                FROM (SELECT *, unnest(range(coalesce(json_array_length(j, '$."$set".messages'), 0)::BIGINT)) AS k FROM gemini)
+            UNION ALL SELECT 'gemini_lines', batch_no, row_id, k, json_extract_string(j, '$.messages[' || k || '].id')
+                FROM (SELECT *, unnest(range(coalesce(json_array_length(j, '$.messages'), 0)::BIGINT)) AS k FROM gemini)
+            UNION ALL SELECT 'message', batch_no, row_id, -1, id FROM message
+            UNION ALL SELECT 'assistant_usage_events', batch_no, row_id, -1, CAST(id AS VARCHAR) FROM assistant_usage_events),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY table_name, id ORDER BY batch_no, row_id, pos) AS n FROM found WHERE id <> '')
+        SELECT table_name, row_id, CAST(pos AS BIGINT) AS pos FROM ranked WHERE n > 1""",
+}
