@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from commitlake.functions.jsonx import json_object
-from commitlake.operators import dedup, stamps
+from commitlake.operators import dedup, drift, hierarchy, inlining, stamps
+from commitlake.session import materialise
 from commitlake.sources.tables import table
 
 #: Instants of the test tables lie between August 2025 and January 2027 (TESTDATA.md); a day more on either side.
@@ -87,7 +88,120 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.col("scope").alias("table_name"), "row_id", "pos")
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found}
+#: Holder and field of the children that p3_found reports: {table: (text column, path of the root, {holder: [field]})}.
+CHILDREN = {
+    "codex_lines": ("raw", "", {"thread_token_usage": ["cached_input_tokens"]}),
+    "copilot_lines": ("raw", "", {"context": ["gitRoot"]}),
+    "message": ("data", "data", {"tokens": ["input"]}),
+}
+
+
+def graph_edges(spark: SparkSession, folder: str, name: str) -> list[tuple[str, str, str, bool]]:
+    """The schema graph of one table on the driver; as many edges as the schemas have, whatever the number of rows."""
+    return [tuple(r) for r in inlining.schema_graph(table(spark, folder, name), CHILDREN[name][0]).collect()]
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Places of the children asked for, read off the flat tables in which shared inlining puts them."""
+    parts = []
+    for name, (text, base, wanted) in CHILDREN.items():
+        rows = inlining.shred(table(spark, folder, name), text, "row_id", graph_edges(spark, folder, name), base, wanted)
+        cells = rows.select("row_id", "path", F.explode(F.map_keys("columns")).alias("field"))
+        parts.append(cells.select(F.lit(name).alias("table_name"), "row_id", F.concat_ws(".", F.nullif("path", F.lit("")), "field").alias("child_path")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def p3_tables(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows of every flat table that shared inlining makes of the three tables, with the rows that have a parent row."""
+    parts = []
+    for name, (text, base, _) in CHILDREN.items():
+        rows = inlining.shred(table(spark, folder, name), text, "row_id", graph_edges(spark, folder, name), base)
+        counts = rows.groupBy("element", "parent_element").agg(F.count("*").alias("n_rows"), F.count("parent_path").alias("n_linked"), F.sum(F.size("columns")).alias("n_values"))
+        parts.append(counts.withColumn("table_name", F.lit(name)))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def thread_copies(spark: SparkSession, folder: str) -> DataFrame:
+    """node, parent of every record that names a thread."""
+    rec = json_object(F.col("raw"), "payload struct<id:string,parent_thread_id:string,forked_from_id:string>")["payload"].alias("p")
+    found = table(spark, folder, "codex_lines").select(rec).where(F.col("p.id") != "")
+    return found.select(F.col("p.id").alias("node"), F.coalesce(F.nullif("p.parent_thread_id", F.lit("")), F.nullif("p.forked_from_id", F.lit(""))).alias("parent"))
+
+
+def message_copies(spark: SparkSession, folder: str) -> DataFrame:
+    """node, parent of every delivered message."""
+    parent = json_object(F.col("data"), "parentID string")["parentID"]
+    return table(spark, folder, "message").where(F.col("id") != "").select(F.col("id").alias("node"), F.nullif(parent, F.lit("")).alias("parent"))
+
+
+def _forest(spark: SparkSession, folder: str) -> DataFrame:
+    """Links of both trees in one forest; tree is a part of the node's key."""
+    both = thread_copies(spark, folder).withColumn("tree", F.lit("thread")).unionByName(message_copies(spark, folder).withColumn("tree", F.lit("message")))
+    return hierarchy.links(both, ["tree"], "node", "parent")
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Root and depth of every node that is not a root, -1 and the smallest id of the loop on or below a loop."""
+    nodes = hierarchy.resolve(_forest(spark, folder), ["tree"])
+    return nodes.where(F.col("node_depth") != 0).select("tree", F.col("node").alias("node_id"), "root_id", "node_depth")
+
+
+def p4_paths(spark: SparkSession, folder: str) -> DataFrame:
+    """Full path from the root of every node outside of loops, its ids joined with ``/``."""
+    nodes = hierarchy.resolve(_forest(spark, folder), ["tree"], paths=True).where(F.col("node_depth") >= 0)
+    return nodes.select("tree", F.col("node").alias("node_id"), F.array_join("path", "/").alias("full_path"))
+
+
+def p4_descendants(spark: SparkSession, folder: str) -> DataFrame:
+    """Every (ancestor, descendant) pair outside of loops with its distance."""
+    pairs = hierarchy.descendants(hierarchy.resolve(_forest(spark, folder), ["tree"], paths=True), ["tree"])
+    return pairs.select("tree", "ancestor_id", "descendant_id", "distance")
+
+
+#: Fields whose drift is reported: {table: (text column, {field: (place of its object, own name)})}.
+DRIFTING = {
+    "codex_lines": ("raw", {"type": ("", "type"), "payload.info": ("payload<token_count>", "info")}),
+    "copilot_lines": ("raw", {"type": ("", "type")}),
+    "message": ("data", {"data.tokens.total": ("tokens", "total")}),
+}
+_FILE = ["install_id", "file_path", "file_seq"]
+
+
+def _signatures(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    text, fields = DRIFTING[name]
+    found = drift.signatures(table(spark, folder, name), text, _FILE, [place for place, _ in fields.values()])
+    return materialise(found, "signatures")
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Changes of the fields above from each file of an install to the next."""
+    parts = []
+    for name, (_, fields) in DRIFTING.items():
+        found = _signatures(spark, folder, name)
+        named = {field: (place, drift.aliases(found, place, own)) for field, (place, own) in fields.items()}
+        held = drift.file_fields(found, table(spark, folder, name), _FILE, named)
+        parts.append(drift.changes(held, ["install_id"], "file_seq").withColumn("table_name", F.lit(name)))
+    return reduce(DataFrame.unionByName, parts).select("table_name", "file_path", "field_name", "change_kind")
+
+
+def p5_unified(spark: SparkSession, folder: str) -> DataFrame:
+    """The drifting fields of every record under one name and the union type: table_name, row_id, field_name, value."""
+    parts = []
+    for name, (text, fields) in DRIFTING.items():
+        found = _signatures(spark, folder, name)
+        wanted = {}
+        for field, (place, own) in fields.items():
+            names = drift.aliases(found, place, own)
+            kinds = found.where(F.col("place") == place).select(F.explode(F.arrays_zip("keys", "kinds")).alias("x")).where(F.col("x.keys").isin(names)).select("x.kinds").distinct()
+            path = [key for key in place.split("<")[0].split(".") if key]
+            wanted[field.replace(".", "_")] = (path, names, drift.union_type(r[0] for r in kinds.collect()))
+        read = drift.unified(table(spark, folder, name).select("row_id", text), text, wanted)
+        cells = F.explode(F.array(*(F.struct(F.lit(f).alias("field_name"), F.col(f).cast("string").alias("value")) for f in wanted)))
+        parts.append(read.select(F.lit(name).alias("table_name"), "row_id", cells.alias("x")).select("table_name", "row_id", "x.*").where(F.col("value").isNotNull()))
+    return reduce(DataFrame.unionByName, parts)
+
+
+QUERIES = {q.__name__: q for q in (p1_found, p2_found, p3_found, p3_tables, p4_found, p4_paths, p4_descendants, p5_found, p5_unified)}
 ORACLES: dict[str, str] = {
     "p2_found": """
         WITH gemini AS (SELECT batch_no, row_id, CASE WHEN json_valid(raw) AND json_type(raw) = 'OBJECT' THEN raw END AS j FROM gemini_lines),
@@ -103,4 +217,52 @@ ORACLES: dict[str, str] = {
             UNION ALL SELECT 'assistant_usage_events', batch_no, row_id, -1, CAST(id AS VARCHAR) FROM assistant_usage_events),
         ranked AS (SELECT *, row_number() OVER (PARTITION BY table_name, id ORDER BY batch_no, row_id, pos) AS n FROM found WHERE id <> '')
         SELECT table_name, row_id, CAST(pos AS BIGINT) AS pos FROM ranked WHERE n > 1""",
+    "p3_found": """
+        WITH found AS (
+            SELECT 'codex_lines' AS table_name, row_id, '' AS base, 'thread_token_usage' AS holder, 'cached_input_tokens' AS field, raw AS j FROM codex_lines
+            UNION ALL SELECT 'copilot_lines', row_id, '', 'context', 'gitRoot', raw FROM copilot_lines
+            UNION ALL SELECT 'message', row_id, 'data.', 'tokens', 'input', data FROM message),
+        valid AS (SELECT * FROM found WHERE json_valid(j) AND json_type(j) = 'OBJECT'),
+        tree AS (SELECT v.table_name, v.row_id, v.base, v.holder, v.field, t.fullkey FROM valid v, json_tree(v.j) t WHERE t.key = v.field AND t.type <> 'NULL')
+        SELECT table_name, row_id, base || substr(fullkey, 3) AS child_path FROM tree
+        WHERE regexp_matches(fullkey, '\\.' || holder || '(\\[[0-9]+\\])*\\.' || field || '$')""",
+    "p4_found": """
+        WITH RECURSIVE codex AS (SELECT CASE WHEN json_valid(raw) THEN raw END AS j FROM codex_lines),
+        copies AS (
+            SELECT 'thread' AS tree, json_extract_string(j, '$.payload.id') AS node,
+                coalesce(nullif(json_extract_string(j, '$.payload.parent_thread_id'), ''), nullif(json_extract_string(j, '$.payload.forked_from_id'), '')) AS parent FROM codex
+            UNION ALL SELECT 'message', id, nullif(json_extract_string(CASE WHEN json_valid(data) THEN data END, '$.parentID'), '') FROM message),
+        merged AS (SELECT tree, node, min(parent) AS parent FROM copies WHERE node <> '' GROUP BY 1, 2),
+        links AS (SELECT a.tree, a.node, b.node AS parent FROM merged a LEFT JOIN merged b ON a.tree = b.tree AND a.parent = b.node),
+        down AS (SELECT tree, node, node AS root_id, 0 AS depth FROM links WHERE parent IS NULL
+            UNION ALL SELECT l.tree, l.node, d.root_id, d.depth + 1 FROM links l JOIN down d ON l.tree = d.tree AND l.parent = d.node),
+        stuck AS (SELECT * FROM links l WHERE NOT EXISTS (SELECT 1 FROM down d WHERE d.tree = l.tree AND d.node = l.node)),
+        walk AS (SELECT tree, node, parent AS spot FROM stuck UNION SELECT w.tree, w.node, s.parent FROM walk w JOIN stuck s ON s.tree = w.tree AND s.node = w.spot),
+        loops AS (SELECT tree, node FROM walk WHERE node = spot),
+        named AS (SELECT w.tree, w.node, min(w.spot) AS root_id FROM walk w JOIN loops USING (tree) WHERE loops.node = w.spot GROUP BY 1, 2)
+        SELECT tree, node AS node_id, root_id, CAST(depth AS BIGINT) AS node_depth FROM down WHERE depth > 0
+        UNION ALL SELECT tree, node, root_id, CAST(-1 AS BIGINT) FROM named""",
+    "p5_found": """
+        WITH cells AS (
+            SELECT 'codex_lines' AS table_name, install_id, file_path, file_seq, 'type' AS field_name, raw AS j, '$' AS place FROM codex_lines WHERE json_valid(raw)
+            UNION ALL SELECT 'codex_lines', install_id, file_path, file_seq, 'payload.info', raw, '$.payload' FROM codex_lines
+                WHERE CASE WHEN json_valid(raw) THEN json_extract_string(raw, '$.payload.type') END = 'token_count'
+            UNION ALL SELECT 'copilot_lines', install_id, file_path, file_seq, 'type', raw, '$' FROM copilot_lines WHERE json_valid(raw)
+            UNION ALL SELECT 'message', install_id, file_path, file_seq, 'data.tokens.total', data, '$.tokens' FROM message WHERE json_valid(data)),
+        keyed AS (SELECT *, unnest(json_keys(j, place)) AS name FROM cells),
+        typed AS (SELECT table_name, file_path, field_name, name, CASE json_type(j, place || '."' || name || '"') WHEN 'VARCHAR' THEN 'string'
+            WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'NULL' THEN NULL ELSE 'number' END AS kind FROM keyed
+            WHERE name NOT IN ('timestamp', 'payload', 'ordinal', 'data', 'rate_limits', 'input', 'output', 'reasoning', 'cache') AND NOT (place = '$.payload' AND name = 'type')),
+        held AS (SELECT table_name, file_path, field_name, min(name) AS name, min(kind) AS kind FROM typed WHERE kind IS NOT NULL GROUP BY 1, 2, 3),
+        files AS (
+            SELECT DISTINCT 'codex_lines' AS table_name, install_id, file_path, file_seq, unnest(['type', 'payload.info']) AS field_name FROM codex_lines
+            UNION SELECT DISTINCT 'copilot_lines', install_id, file_path, file_seq, 'type' FROM copilot_lines
+            UNION SELECT DISTINCT 'message', install_id, file_path, file_seq, 'data.tokens.total' FROM message),
+        placed AS (SELECT f.*, h.name, h.kind, lag(h.name) OVER w AS prev_name, lag(h.kind) OVER w AS prev_kind, row_number() OVER w AS n
+            FROM files f LEFT JOIN held h USING (table_name, file_path, field_name)
+            WINDOW w AS (PARTITION BY f.table_name, f.install_id, f.field_name ORDER BY f.file_seq))
+        SELECT table_name, file_path, field_name, 'added' AS change_kind FROM placed WHERE n > 1 AND name IS NOT NULL AND prev_name IS NULL
+        UNION ALL SELECT table_name, file_path, field_name, 'removed' FROM placed WHERE n > 1 AND name IS NULL AND prev_name IS NOT NULL
+        UNION ALL SELECT table_name, file_path, field_name, 'renamed' FROM placed WHERE name <> prev_name
+        UNION ALL SELECT table_name, file_path, field_name, 'retyped' FROM placed WHERE kind <> prev_kind""",
 }
