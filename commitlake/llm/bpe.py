@@ -15,8 +15,11 @@ Words (the pieces of the pre-tokeniser's pattern) are encoded once and kept in a
 from __future__ import annotations
 
 import base64
+import re
+from array import array
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -24,6 +27,10 @@ from pyspark.sql import functions as F
 
 #: Pre-tokeniser pattern of the 50k byte-level vocabularies (fixed value of the public tokenizer).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: The same pieces, found faster: the alternatives exclude each other by their first characters, so their order is
+#: free, and a run of one class never gives back; for texts in ASCII its classes are spelt out.
+_FAST = r" ?\p{L}++|'(?:[stmd]|re|ve|ll)| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s+(?!\S)|\s+"
+_ASCII = r" ?[A-Za-z]++|'(?:[stmd]|re|ve|ll)| ?[0-9]++| ?[^ \t\n\r\f\vA-Za-z0-9]++|[ \t\n\r\f\v]+(?![^ \t\n\r\f\v])|[ \t\n\r\f\v]+"
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: A vocabulary is sent to the executors only up to this size.
 MAX_VOCABULARY_BYTES = 64 << 20
@@ -167,23 +174,29 @@ class Tokenizer:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str = PATTERN, max_words: int = 500_000) -> None:
         self.transducer = Transducer(ranks)
-        self._split = regex.compile(pattern).findall
-        self._words: dict[str, list[int]] = {}
+        self._split = regex.compile(_FAST if pattern == PATTERN else pattern).findall
+        self._split_ascii = re.compile(_ASCII).findall if pattern == PATTERN else self._split
+        self._words: dict[str, bytes] = {}
         self.max_words = max_words
 
+    def encode_packed(self, text: str | None) -> bytes:
+        """Ids of the whole text as 32-bit numbers in the machine's order."""
+        if not text:
+            return b""
+        words = self._split_ascii(text) if text.isascii() else self._split(text)
+        known = self._words
+        try:
+            return b"".join(map(known.__getitem__, words))
+        except KeyError:
+            if len(known) > self.max_words:
+                known.clear()
+            for word in set(words).difference(known):
+                known[word] = array("i", self.transducer.encode_word(word.encode("utf-8"))).tobytes()
+            return b"".join(map(known.__getitem__, words))
+
     def encode(self, text: str | None) -> list[int]:
         """Ids of the whole text; the empty list for an empty text and for None. Special tokens are ordinary text."""
-        if not text:
-            return []
-        words, out = self._words, []
-        for word in self._split(text):
-            ids = words.get(word)
-            if ids is None:
-                if len(words) >= self.max_words:
-                    words.clear()
-                ids = words[word] = self.transducer.encode_word(word.encode("utf-8"))
-            out += ids
-        return out
+        return np.frombuffer(self.encode_packed(text), dtype=np.int32).tolist()
 
     def decode(self, ids: Iterable[int] | None, piece: int = 4096) -> str:
         """Text of ``ids``, decoded ``piece`` tokens at a time."""
@@ -229,12 +242,14 @@ def encode(df: DataFrame, text: str, keep: list[str], vocabulary: str = DEFAULT_
         for batch in batches:
             for start in range(0, max(len(batch), 1), 256):  # lists of ids are larger than the texts: small pieces
                 part = batch.slice(start, 256)
-                lists = [coder.encode(t) for t in part.column(len(keep)).to_pylist()]
+                packed = [coder.encode_packed(t) for t in part.column(len(keep)).to_pylist()]
+                sizes = np.array([len(p) // 4 for p in packed], dtype=np.int64)
                 columns = list(part.columns[: len(keep)])
                 if ids:
-                    columns.append(pa.array(lists, pa.list_(pa.int32())))
+                    ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+                    columns.append(pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(packed), dtype=np.int32))))
                 if count:
-                    columns.append(pa.array(map(len, lists), pa.int64()))
+                    columns.append(pa.array(sizes))
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     names = [*keep, *([ids] if ids else []), *([count] if count else [])]
