@@ -4,8 +4,9 @@
 trailers are masked, so offsets stay those of the text.
 
 ``fit`` trains a sparse multinomial logistic regression on TF-IDF weights of hashed character n-grams by
-follow-the-regularised-leader with elastic-net penalties, in three steps: on the labelled samples; on the sentences of
-a bounded sample of documents whose delivered label the first model confirms; and a temperature on pairs of neighbouring
+follow-the-regularised-leader with elastic-net penalties: on the labelled samples; then twice on sentences of a
+bounded sample of documents whose delivered label the model before confirms, the second time only of documents
+in which it sees no further language, but with the sentences it is not sure of; and a temperature on pairs of neighbouring
 words from sentences held out (whole sentences are told apart too well to say anything about confidence).
 Document frequencies cover all documents. The model is a table of 2**BITS x languages, whatever the corpus.
 
@@ -48,7 +49,11 @@ _MASK = re.compile(
     r"|(?<![A-Za-z0-9])[A-Za-z_]\w*\.(?:py|kt|rs|go|ts|js|sql|toml|md|swift|java|json|yaml|yml|c|h|cpp|txt|sh)\b|(?<![A-Za-z0-9])[A-Za-z]+_[A-Za-z0-9_]+|#?\d[\d.,:/-]*",
     re.ASCII,
 )
-_SENTENCE = re.compile(r"[^\x01]+?(?:[.!?…]+[\"'»”’)]*(?=[\s\x01]|$)|[。！？]+[」』”）]*|(?=\x01)|$)")
+#: A token without one of these characters holds nothing to mask; neither does a line hold code without one of those.
+_SPECIAL = re.compile(r"[0-9/_@<\x1b]|\.[a-z]")
+_CODE_SIGN = re.compile(r"[={};:\[(\"<@$%]|^\s*[+-]")
+_END = re.compile(r"[.!?…]+[\"'»”’)]*(?=[\s\x01]|$)|[。！？]+[」』”）]*|\x01+")
+_ASCII_WORD = re.compile(r"[A-Za-z]+(?:'[A-Za-z]+)*")
 _WORD = regex.compile(r"[\p{L}\p{M}]+(?:['’][\p{L}\p{M}]+)*")
 _CJK = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}ー]")
 _BREAK = re.compile(r"\r\n?|[\x0b\x0c\x85  ]")
@@ -62,13 +67,24 @@ def normal_label(label: str | None) -> str | None:
     return next((code for code, more in CODES.items() if head == code or head in more), None)
 
 
+def _mask(line: str) -> str:
+    """The line with everything that is no prose replaced, character by character."""
+    if "`" in line or "](" in line or "<|" in line:
+        return _MASK.sub(lambda m: "\x02" * len(m[0]), line)
+    parts = line.split(" ")
+    for i, token in enumerate(parts):
+        if (len(token) > 23 or not token.isalpha()) and (len(token) > 23 or _SPECIAL.search(token)):
+            parts[i] = _MASK.sub(lambda m: "\x02" * len(m[0]), token)
+    return " ".join(parts)
+
+
 def prose_sentences(text: str) -> list[tuple[int, int, list[str], int]]:
     """(start, end, words, prose characters) of every sentence of prose in ``text``.
 
     Lines of a paragraph are read on; blank lines, list items, quotes and lines without prose end a sentence. A piece
     without two words of two letters, one of them of three (or four characters of a script without spaces), is none.
     """
-    text = _BREAK.sub(lambda m: "\n" * len(m[0]), text)
+    text = _BREAK.sub(lambda m: " \n"[-len(m[0]) :], text)
     out: list[str] = []
     fenced = quoted = False
     for line in text.split("\n"):
@@ -79,11 +95,11 @@ def prose_sentences(text: str) -> list[tuple[int, int, list[str], int]]:
         if fenced or not line.strip() or _TABLE.search(line) or _STAMP.match(line) or _TRAILER.match(line):
             out.append("\x01" * (len(line) + 1))
             continue
-        masked = _MASK.sub(lambda m: "\x02" * len(m[0]), line)
+        masked = _mask(line)
         lead = _START.match(masked).end()
         bare = masked[lead:]
         heading = bare.startswith("#")
-        if _CODE.search(bare) or (masked[:1] in "+-" and masked[1:2].isspace() and masked[2:3].isspace()) or (heading and len(_WORD.findall(bare)) < 3 and not _CJK.search(bare)):
+        if (_CODE_SIGN.search(bare) and _CODE.search(bare)) or (masked[:1] in "+-" and masked[1:2].isspace() and masked[2:3].isspace()) or (heading and len(_WORD.findall(bare)) < 3 and not _CJK.search(bare)):
             out.append("\x01" * (len(line) + 1))
             continue
         quote = ">" in masked[:lead]
@@ -97,15 +113,17 @@ def prose_sentences(text: str) -> list[tuple[int, int, list[str], int]]:
         quoted = quote
         out.append(bare + ("\x01" if heading else " "))
     masked = "".join(out)
+    split = (_ASCII_WORD if masked.isascii() else _WORD).findall
     found = []
-    for m in _SENTENCE.finditer(masked):
-        piece = m[0]
-        words = _WORD.findall(piece)
+    begin = 0
+    for end in [*(m.end() for m in _END.finditer(masked)), len(masked)]:
+        piece, at, begin = masked[begin:end].rstrip("\x01"), begin, end
+        words = split(piece)
         long = sorted(map(len, words))[-2:]
-        if (len(long) < 2 or long[0] < 2 or long[1] < 3) and len(_CJK.findall(piece)) < 4:
+        if (len(long) < 2 or long[0] < 2 or long[1] < 3) and (not words or len(_CJK.findall(piece)) < 4):
             continue
-        start = m.start() + len(piece) - len(piece.lstrip())
-        found.append((start, min(m.end(), len(text)), words, sum(map(len, words)) + len(words) - 1))
+        start = at + len(piece) - len(piece.lstrip())
+        found.append((start, min(at + len(piece), len(text)), words, sum(map(len, words)) + len(words) - 1))
     return found
 
 
@@ -130,30 +148,47 @@ class Model:
     weights: np.ndarray
     bias: np.ndarray
     temperature: float = 1.0
-    _words: dict[str, tuple[np.ndarray, int]] = field(default_factory=dict, repr=False)
+    _words: dict[str, int] = field(default_factory=dict, repr=False)
+    _rows: np.ndarray | None = field(default=None, repr=False)
 
     def __getstate__(self) -> dict:
-        return {**self.__dict__, "_words": {}}
-
-    def word(self, word: str) -> tuple[np.ndarray, int]:
-        found = self._words.get(word)
-        if found is None:
-            if len(self._words) > 300_000:
-                self._words.clear()
-            at = np.array(grams(word), dtype=np.int64)
-            found = self._words[word] = ((self.weights[at] * self.idf[at, None]).sum(0), len(at))
-        return found
-
-    def probabilities(self, words: list[str]) -> np.ndarray:
-        """Calibrated probability of each language for one sentence."""
-        total, n = np.zeros(len(self.langs)), 0
-        for word in words:
-            score, count = self.word(word)
-            total = total + score
-            n += count
-        z = (total / math.sqrt(max(n, 1)) + self.bias) / self.temperature
-        z = np.exp(z - z.max())
-        return z / z.sum()
+        return {**self.__dict__, "_words": {}, "_rows": None}
+
+    def _number(self, word: str) -> int:
+        """Row of a word's summed weights in the table of words met."""
+        if self._rows is None or len(self._words) > 300_000:
+            self._words = {}
+            self._rows = np.zeros((1024, len(self.langs) + 1), dtype=np.float32)
+        number = self._words[word] = len(self._words)
+        if number == len(self._rows):
+            self._rows = np.concatenate([self._rows, np.zeros_like(self._rows)])
+        at = np.array(grams(word), dtype=np.int64)
+        self._rows[number, :-1] = (self.weights[at] * self.idf[at, None]).sum(0)
+        self._rows[number, -1] = len(at)
+        return number
+
+    def probabilities(self, sentences: list[list[str]]) -> np.ndarray:
+        """Calibrated probability of each language for each sentence (its words, at least one)."""
+        out = [np.zeros((0, len(self.langs)))]
+        for first in range(0, len(sentences), 4096):
+            part = sentences[first : first + 4096]
+            if len(self._words) > 250_000:  # none of this part may be dropped while it is read
+                self._words, self._rows = {}, None
+            known = self._words
+            numbers = []
+            for words in part:
+                for w in words:
+                    n = known.get(w)
+                    if n is None:
+                        n = self._number(w)
+                        known = self._words
+                    numbers.append(n)
+            starts = np.cumsum([0, *map(len, part[:-1])])
+            sums = np.add.reduceat(self._rows[np.array(numbers)], starts, axis=0).astype(np.float64)
+            z = (sums[:, :-1] / np.sqrt(np.maximum(sums[:, -1:], 1)) + self.bias) / self.temperature
+            z = np.exp(z - z.max(1, keepdims=True))
+            out.append(z / z.sum(1, keepdims=True))
+        return np.concatenate(out)
 
 
 def _vector(words: list[str], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -161,8 +196,11 @@ def _vector(words: list[str], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, tf * idf[at] / math.sqrt(max(tf.sum(), 1))
 
 
-def train(rows: list[tuple[list[str], str]], langs: list[str], idf: np.ndarray, epochs: int = 4, alpha: float = 0.3, beta: float = 1.0, l1: float = 0.002, l2: float = 0.02) -> Model:
-    """Follow-the-regularised-leader (proximal) over ``rows`` (words, language) with both penalties."""
+def train(rows: list[tuple[list[str], str]], langs: list[str], idf: np.ndarray, epochs: int = 5, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.002, l2: float = 0.01, batch: int = 32) -> Model:
+    """Follow-the-regularised-leader (proximal) over ``rows`` (words, language) with both penalties.
+
+    Gradients are summed over ``batch`` rows before a step; only the weights of buckets that occur in them are touched.
+    """
     k = len(langs)
     z, n = np.zeros((1 << BITS, k)), np.zeros((1 << BITS, k))
     zb, nb = np.zeros(k), np.zeros(k)
@@ -173,25 +211,30 @@ def train(rows: list[tuple[list[str], str]], langs: list[str], idf: np.ndarray,
         return np.where(np.abs(zs) <= l1, 0.0, -(zs - np.sign(zs) * l1) / ((beta + np.sqrt(ns)) / alpha + l2))
 
     for _ in range(epochs):
-        for i in draw.permutation(len(vectors)):
-            at, x, y = vectors[i]
-            w, wb = weights(z[at], n[at]), weights(zb, nb)
+        order = draw.permutation(len(vectors))
+        for first in range(0, len(order), batch):
+            part = [vectors[i] for i in order[first : first + batch]]
+            used, place = np.unique(np.concatenate([v[0] for v in part]), return_inverse=True)
+            x = np.zeros((len(part), len(used)))
+            x[np.repeat(np.arange(len(part)), [len(v[0]) for v in part]), place] = np.concatenate([v[1] for v in part])
+            zs, ns = z[used], n[used]
+            w, wb = weights(zs, ns), weights(zb, nb)
             p = x @ w + wb
-            p = np.exp(p - p.max())
-            p /= p.sum()
-            p[y] -= 1.0
-            g = x[:, None] * p[None, :]
-            z[at] += g - (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / alpha * w
-            n[at] += g * g
-            zb += p - (np.sqrt(nb + p * p) - np.sqrt(nb)) / alpha * wb
-            nb += p * p
+            p = np.exp(p - p.max(1, keepdims=True))
+            p /= p.sum(1, keepdims=True)
+            p[np.arange(len(part)), [v[2] for v in part]] -= 1.0
+            g, gb = x.T @ p, p.sum(0)
+            z[used] = zs + g - (np.sqrt(ns + g * g) - np.sqrt(ns)) / alpha * w
+            n[used] = ns + g * g
+            zb += gb - (np.sqrt(nb + gb * gb) - np.sqrt(nb)) / alpha * wb
+            nb += gb * gb
     return Model(langs, idf, weights(z, n).astype(np.float32), weights(zb, nb))
 
 
 def calibrate(model: Model, rows: list[tuple[list[str], str]]) -> float:
     """The temperature with the least log loss on ``rows``, by golden section between 0.05 and 20."""
     model.temperature = 1.0
-    logits = np.array([np.log(np.maximum(model.probabilities(words), 1e-30)) for words, _ in rows])
+    logits = np.log(np.maximum(model.probabilities([words for words, _ in rows]), 1e-30))
     truth = np.array([model.langs.index(lang) for _, lang in rows])
 
     def loss(log_t: float) -> float:
@@ -207,22 +250,27 @@ def calibrate(model: Model, rows: list[tuple[list[str], str]]) -> float:
 
 
 def document_frequencies(docs: DataFrame, text: str) -> tuple[np.ndarray, int]:
-    """In how many documents each n-gram bucket occurs, over all documents, and their number; 2**BITS rows at most."""
+    """In how many documents each n-gram bucket occurs, over all words of all documents, and the number of documents.
+
+    A task sends at most 2**BITS rows, and as many come to the driver.
+    """
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, seen, total = {}, np.zeros(1 << BITS, dtype=np.int64), 0
+        seen, total = np.zeros(1 << BITS, dtype=np.int64), 0
+        held: dict[str, np.ndarray] = {}
         for batch in batches:
             for value in batch.column(0).to_pylist():
-                words = {w for s in prose_sentences(value or "") for w in s[2]}
+                words = set((_ASCII_WORD if value.isascii() else _WORD).findall(value)) if value else ()
                 if not words:
                     continue
                 total += 1
-                for w in words:
-                    if w not in held:
-                        if len(held) > 200_000:
-                            held.clear()
-                        held[w] = np.array(grams(w), dtype=np.int64)
-                seen[np.unique(np.concatenate([held[w] for w in words]))] += 1
+                if len(held) > 200_000:
+                    held.clear()
+                for w in words.difference(held):
+                    held[w] = np.array(grams(w), dtype=np.int64)
+                flags = np.zeros(1 << BITS, dtype=bool)
+                flags[np.concatenate([held[w] for w in words])] = True
+                seen += flags
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array([-1, *at.tolist()], pa.int64()), pa.array([total, *seen[at].tolist()], pa.int64())], ["g", "n"])
 
@@ -237,7 +285,7 @@ def document_frequencies(docs: DataFrame, text: str) -> tuple[np.ndarray, int]:
     return df, total
 
 
-def fit(docs: DataFrame, samples: DataFrame, *, text: str = "text", label: str = "lang", key: str = "doc_id", max_documents: int = 4000, max_sentences: int = 400) -> Model:
+def fit(docs: DataFrame, samples: DataFrame, *, text: str = "text", label: str = "lang", key: str = "doc_id", max_documents: int = 4000, max_sentences: int = 700) -> Model:
     """Model trained on ``samples`` (text, lang) and on confirmed sentences of a sample of ``docs``.
 
     ``max_documents``: bound of the sample of labelled documents, the first by the hash of their key;
@@ -247,45 +295,91 @@ def fit(docs: DataFrame, samples: DataFrame, *, text: str = "text", label: str =
     idf = np.log((1 + total) / (1 + df)) + 0.1
     seeds = [(words, lang) for value, lang in sorted((r[0], normal_label(r[1])) for r in samples.select("text", "lang").collect() if r[0]) if lang and lang != "zxx" for _, _, words, _ in prose_sentences(value)]
     langs = sorted({lang for _, lang in seeds})
-    model = train(seeds, langs, idf, epochs=20)
+    model = train(seeds, langs, idf, epochs=20, batch=8)
     if not langs:
         return model
-    sample = docs.where(F.col(text).isNotNull()).select(text, label).orderBy(F.xxhash64(key)).limit(max_documents).collect()
-    pool = [(s[2], lang) for r in sample if (lang := normal_label(r[1])) in langs for s in prose_sentences(r[0])]
-    for _ in range(2):
+    place = F.xxhash64(key)
+    share = min(1.0, 2 * max_documents / max(total, 1))  # of the hashes' range, so that no task sends many rows
+    near = F.pmod(place, F.lit(1_000_000)) < int(share * 1_000_000) + 1
+    sample = docs.where(F.col(text).isNotNull() & near).select(text, label).orderBy(place).limit(max_documents).collect()
+    pool = [(lang, [s[2:] for s in prose_sentences(r[0])]) for r in sample if (lang := normal_label(r[1])) in langs]
+    for step in range(2):
+        scores = model.probabilities([words for _, sentences in pool for words, _ in sentences])
         taken: dict[str, dict[tuple[str, ...], None]] = {lang: {} for lang in langs}
-        for words, lang in pool:
-            held = taken[lang]
-            if len(held) < max_sentences and len(words) > 3 or _CJK.search(words[0]):
-                p = model.probabilities(words)
-                if langs[int(p.argmax())] == lang and len(held) < max_sentences:
-                    held[tuple(words)] = None
+        at = 0
+        for lang, sentences in pool:
+            p = scores[at : at + len(sentences)]
+            at += len(sentences)
+            own = langs.index(lang)
+            others = np.delete(p, own, axis=1).max(1, initial=0.0)
+            weight = np.zeros(len(langs))
+            for guess, (_, chars) in zip(p.argmax(1), sentences, strict=True):
+                weight[guess] += chars
+            if not len(sentences) or weight.argmax() != own or (step and others.max() > 0.95):
+                continue  # the label is not confirmed, or a further language may be in it
+            for (words, _), sure, other in zip(sentences, p[:, own], others, strict=True):
+                if sure > (0.02 if step else other) and (len(words) > 3 or _CJK.search(words[0])):
+                    taken[lang][tuple(words)] = None
+        for lang, held in taken.items():
+            spread = sorted(held, key=lambda words: zlib.crc32(" ".join(words).encode()))
+            taken[lang] = dict.fromkeys(spread[:max_sentences])
         rows = [(list(words), lang) for lang, held in taken.items() for words in held]
         kept = [r for i, r in enumerate(rows) if i % 5]
         model = train(seeds + kept, langs, idf)
         apart = [r for i, r in enumerate(rows) if i % 5 == 0] or seeds
         model.temperature = calibrate(model, [(words[i : i + 2], lang) for words, lang in apart for i in range(0, len(words), 2)])
-    model._words.clear()
     return model
 
 
-def analyse(model: Model, text: str | None, sure: float = 0.6) -> tuple[str | None, float, list[str], list[tuple[int, int, str, float]]]:
-    """(language, confidence, further languages, segments) of one text.
+Judged = tuple[str | None, float, list[str], list[tuple[int, int, str, float]]]
+
+
+def analyse(model: Model, texts: list[str | None], sure: float = 0.5) -> list[Judged]:
+    """(language, confidence, further languages, segments) of each text.
 
     The language is that with the most characters of prose (ties: the first code), zxx without prose, None for a NULL
     or blank text. Neighbouring sentences of one language make a segment (start, end, language, confidence). A further
     language needs a whole sentence of at least three words, or five characters without spaces, of confidence ``sure``.
+    A sentence the model is not clear about is read in the light of the others of its text.
     """
-    if text is None or not text.strip():
-        return None, 0.0, [], []
+    found = [None if t is None or not t.strip() else prose_sentences(t) for t in texts]
+    p = model.probabilities([s[2] for sentences in found for s in sentences or ()])
+    at = 0
+    for sentences in found:
+        if sentences:
+            _settle(p[at : at + len(sentences)], np.array([s[3] for s in sentences], dtype=float))
+            at += len(sentences)
+    best = p.argmax(1)
+    sures = p[np.arange(len(p)), best] if len(p) else p
+    at = 0
+    out: list[Judged] = []
+    for sentences in found:
+        if not sentences:
+            out.append((None, 0.0, [], []) if sentences is None else ("zxx", 1.0, [], []))
+            continue
+        out.append(_judge(model.langs, sentences, best[at : at + len(sentences)].tolist(), sures[at : at + len(sentences)].tolist(), sure))
+        at += len(sentences)
+    return out
+
+
+def _settle(p: np.ndarray, chars: np.ndarray, clear: float = 0.9) -> None:
+    """Weigh the sentences of one text that are not ``clear`` by the languages of those that are, in place."""
+    plain = p.max(1) >= clear
+    if plain.all() or not plain.any():
+        return
+    share = (p[plain] * chars[plain, None]).sum(0)
+    q = p[~plain] * (0.02 / p.shape[1] + 0.98 * share / share.sum())
+    p[~plain] = q / q.sum(1, keepdims=True)
+
+
+def _judge(langs: list[str], sentences: list, best: list[int], sures: list[float], sure: float) -> Judged:
+    """The judgement of one text from its sentences' languages and their probabilities."""
     weight: dict[str, float] = {}
     mass: dict[str, float] = {}
     whole: set[str] = set()
     segments: list[tuple[int, int, str, float, float]] = []
-    for start, end, words, chars in prose_sentences(text):
-        p = model.probabilities(words)
-        best = int(p.argmax())
-        lang, sure_of = model.langs[best], float(p[best])
+    for (start, end, words, chars), number, sure_of in zip(sentences, best, sures, strict=True):
+        lang = langs[number]
         weight[lang] = weight.get(lang, 0.0) + chars
         mass[lang] = mass.get(lang, 0.0) + chars * sure_of
         if sure_of >= sure and (len(words) >= 3 or len(_CJK.findall("".join(words))) >= 5):
@@ -295,8 +389,6 @@ def analyse(model: Model, text: str | None, sure: float = 0.6) -> tuple[str | No
             segments[-1] = (a, end, lang, c + sure_of * chars, n + chars)
         else:
             segments.append((start, end, lang, sure_of * chars, float(chars)))
-    if not weight:
-        return "zxx", 1.0, [], []
     main = min(weight, key=lambda code: (-weight[code], code))
     return main, mass[main] / weight[main], sorted(whole - {main}), [(a, b, lang, c / n) for a, b, lang, c, n in segments]
 
@@ -315,7 +407,7 @@ def identify(docs: DataFrame, model: Model, *, text: str = "text", keep: list[st
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [analyse(held.value, t) for t in batch.column(len(keep)).to_pylist()]
+            found = analyse(held.value, batch.column(len(keep)).to_pylist())
             arrays = [
                 pa.array([f[0] for f in found], pa.string()),
                 pa.array([f[1] for f in found], pa.float64()),
