@@ -85,8 +85,8 @@ def glob_match(path: Column, globs: list[str]) -> Column:
 
 
 def compact(n: Column) -> Column:
-    """A count as 950, 1.2K, 3.4M or 5.6B; a value that rounds up to the next unit takes it."""
-    unit = lambda divisor, mark: F.format_string(f"%.1f{mark}", n / divisor)
+    """A count as 950, 1.2K, 3.4M or 5.6B, ties to even; a value that rounds up to the next unit takes it."""
+    unit = lambda divisor, mark: F.format_string(f"%.1f{mark}", F.rint(n / (divisor / 10)) / 10)
     return F.when(n < 1000, n.cast("string")).when(n < 999_950, unit(1e3, "K")).when(n < 999_950_000, unit(1e6, "M")).otherwise(unit(1e9, "B"))
 
 

@@ -152,10 +152,12 @@ def carry_forward(df: DataFrame, keys: list[str], order: str, tie: str, value: s
     cut = df.withColumn("c_block", F.floor(F.coalesce(F.col(order), F.lit(0)) / block))
     last = cut.groupBy(*keys, "c_block").agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.struct(order, tie))).alias("c_last"))
     earlier = Window.partitionBy(*keys).orderBy("c_block").rowsBetween(Window.unboundedPreceding, -1)
-    start = last.select(*keys, "c_block", F.last("c_last", ignorenulls=True).over(earlier).alias("c_start"))
-    same = [cut[k].eqNullSafe(start[k]) for k in [*keys, "c_block"]]
+    start = last.select(*(F.col(k).alias(f"c_{i}") for i, k in enumerate(keys)), F.col("c_block").alias("c_of"), F.last("c_last", ignorenulls=True).over(earlier).alias("c_start"))
+    same = F.col("c_block") == F.col("c_of")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"c_{i}"))
     here = Window.partitionBy(*keys, "c_block").orderBy(order, tie).rowsBetween(Window.unboundedPreceding, 0)
-    joined = cut.join(start, same[0] if len(same) == 1 else [c for c in same], "left").select(*(cut[c] for c in cut.columns), "c_start")
+    joined = cut.join(start, same, "left").drop("c_of", *(f"c_{i}" for i in range(len(keys))))
     return joined.withColumn(name, F.coalesce(F.last(value, ignorenulls=True).over(here), F.col("c_start"))).drop("c_block", "c_start")
 
 

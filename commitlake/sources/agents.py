@@ -162,18 +162,19 @@ def chat_calls(lines: DataFrame, kind: str = "gemini") -> DataFrame:
 _STORE_TOKENS = "struct<input:bigint,output:bigint,reasoning:bigint,total:bigint,cache:struct<read:bigint,write:bigint>>"
 
 
-def store_calls(messages: DataFrame, sessions: DataFrame, source: str = "opencode") -> DataFrame:
+def store_calls(messages: DataFrame, sessions: DataFrame, source: str = "opencode", drop_forks: bool = True) -> DataFrame:
     """Calls of a message store: the step-finish parts of each assistant message, or the message where it has none.
 
     ``messages``: id, session_id, data, batch_no, row_id, time_updated and time_created (text); ``sessions``: id,
     version. Of the copies of a message the last delivered with valid data counts; a copy minted by a fork is left
-    out. Counters follow the rules of the session's release.
+    out unless ``drop_forks`` is false. Counters follow the rules of the session's release.
     """
     shape = f"role string, providerID string, modelID string, tokens {_STORE_TOKENS}, parts array<struct<type:string,tokens:{_STORE_TOKENS},model:struct<providerID:string,modelID:string>>>"
     read = messages.select("id", "session_id", "time_created", "batch_no", "row_id", json_object(F.col("data"), shape).alias("d")).where("d IS NOT NULL")
     last = read.where(F.col("id") != "").groupBy("id").agg(F.max_by(F.struct("session_id", "time_created", "d"), F.struct("batch_no", "row_id")).alias("l")).select("id", "l.*")
     mine = last.where(F.coalesce(U.text(F.col("d.role")), F.lit("assistant")) == "assistant").withColumn("u_ms", F.when(F.col("time_created").rlike(r"^\d{13}$"), F.col("time_created").cast("bigint")).otherwise(0))
-    mine = mine.where(~U.fork_copy(F.col("id"), F.col("u_ms")))
+    if drop_forks:
+        mine = mine.where(~U.fork_copy(F.col("id"), F.col("u_ms")))
     steps = F.filter(F.coalesce("d.parts", F.array()), lambda x: (x["type"] == "step-finish") & x["tokens"].isNotNull())
     own = F.struct(F.col("d.tokens").alias("t"), F.col("d.providerID").alias("provider"), F.col("d.modelID").alias("model"), F.lit(-1).alias("i"))
 
