@@ -340,8 +340,10 @@ def analyse(model: Model, texts: list[str | None], sure: float = 0.5) -> list[Ju
     The language is that with the most characters of prose (ties: the first code), zxx without prose, None for a NULL
     or blank text. Neighbouring sentences of one language make a segment (start, end, language, confidence). A further
     language needs a whole sentence of at least three words, or five characters without spaces, of confidence ``sure``.
-    A sentence the model is not clear about is read in the light of the others of its text.
+    A model without languages judges nothing. Near ties go to a language that is clear elsewhere in the text.
     """
+    if not model.langs:
+        return [(None, 0.0, [], []) for _ in texts]
     found = [None if t is None or not t.strip() else prose_sentences(t) for t in texts]
     p = model.probabilities([s[2] for sentences in found for s in sentences or ()])
     at = 0
@@ -362,14 +364,18 @@ def analyse(model: Model, texts: list[str | None], sure: float = 0.5) -> list[Ju
     return out
 
 
-def _settle(p: np.ndarray, chars: np.ndarray, clear: float = 0.9) -> None:
-    """Weigh the sentences of one text that are not ``clear`` by the languages of those that are, in place."""
-    plain = p.max(1) >= clear
+def _settle(p: np.ndarray, chars: np.ndarray, clear: float = 0.9, tie: float = 0.7) -> None:
+    """Decide near ties for a language that is clear elsewhere in the text, in place: the leader changes place with it."""
+    top = p.max(1)
+    plain = top >= clear
     if plain.all() or not plain.any():
         return
     share = (p[plain] * chars[plain, None]).sum(0)
-    q = p[~plain] * (0.02 / p.shape[1] + 0.98 * share / share.sum())
-    p[~plain] = q / q.sum(1, keepdims=True)
+    for i in np.flatnonzero(~plain):
+        near = np.where(p[i] >= tie * top[i], share, -1.0)
+        first, other = int(p[i].argmax()), int(near.argmax())
+        if near[other] > near[first]:
+            p[i, first], p[i, other] = p[i, other], p[i, first]
 
 
 def _judge(langs: list[str], sentences: list, best: list[int], sures: list[float], sure: float) -> Judged:
