@@ -23,6 +23,7 @@ import pyarrow.fs as pafs
 import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from commitlake.session import materialise, remove_path, scratch_path
 
@@ -87,6 +88,7 @@ class IdentifierIndex:
 
     def __init__(self, spark: SparkSession, path: str, bits: int = 5, merge_every: int = 4) -> None:
         self.spark, self.path, self.bits, self.merge_every = spark, path.rstrip("/"), bits, merge_every
+        self._schema: StructType | None = None
 
     def runs(self) -> list[str]:
         """Folders of the valid runs in order. A merged run covers the runs it was made of, should these still exist."""
@@ -107,8 +109,8 @@ class IdentifierIndex:
         df.write.mode("overwrite").option("compression", "zstd").partitionBy("prefix").parquet(path)
         return path
 
-    def ingest(self, batch: DataFrame, order: list[str]) -> str:
-        """Add the identifiers of ``batch`` (columns scope, id and ``order``) and return the folder of the new run.
+    def ingest(self, batch: DataFrame, order: list[str]) -> None:
+        """Add the identifiers of ``batch`` (columns scope, id and ``order``) as a new run.
 
         The run has one row for each identifier that no earlier batch had: the occurrence that comes first by the
         ``order`` columns. NULL and empty identifiers identify nothing and are left out.
@@ -120,10 +122,10 @@ class IdentifierIndex:
         hashed = firsts.withColumn("h", F.xxhash64("scope", "id"))
         keyed = hashed.select(F.shiftrightunsigned("h", 64 - self.bits).cast("int").alias("prefix"), "h", "scope", "id", "first.*")
         ready = keyed.repartition("prefix").sortWithinPartitions("prefix", "h")
-        path = self._write(ready.mapInArrow(_search(runs), ready.schema) if runs else ready, number, number)
+        self._schema = ready.schema
+        self._write(ready.mapInArrow(_search(runs), ready.schema) if runs else ready, number, number)
         if len(runs) + 1 >= self.merge_every:
             self.merge()
-        return path
 
     def merge(self) -> None:
         """Replace all runs by one."""
@@ -136,8 +138,20 @@ class IdentifierIndex:
             remove_path(self.spark, run)
 
     def entries(self, runs: list[str] | None = None) -> DataFrame:
-        """All kept occurrences: prefix, h, scope, id and the order columns."""
-        return reduce(DataFrame.unionByName, map(self.spark.read.parquet, runs or self.runs()))
+        """All kept occurrences: prefix, h, scope, id and the order columns.
+
+        A run may have no file (its batch brought nothing new) and then says nothing about columns.
+        """
+        jvm = self.spark._jvm
+        held = []
+        for run in runs or self.runs():
+            path = jvm.org.apache.hadoop.fs.Path(run)
+            found = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(path)
+            if any(str(f.getPath().getName()).startswith("prefix=") for f in found):
+                held.append(self.spark.read.parquet(run))
+        if not held:
+            return self.spark.createDataFrame([], self._schema or "prefix int, h bigint, scope string, id string")
+        return reduce(DataFrame.unionByName, held)
 
 
 def surplus_copies(occurrences: DataFrame, *, batch: Column, order: list[str], key: list[str], bits: int = 5, merge_every: int = 4) -> DataFrame:
