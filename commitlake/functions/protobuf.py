@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from decimal import Decimal
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 FIELDS = "array<struct<field:int,wire:int,number:decimal(20,0),bytes:binary>>"
@@ -48,11 +50,7 @@ def read_fields(blob: bytes) -> Iterator[tuple[int, int, int | None, bytes | Non
         yield field, wire, None if wire == 2 else int.from_bytes(held, "little"), held if wire == 2 else None
 
 
-@F.pandas_udf(FIELDS)
-def proto_fields(blobs: pd.Series) -> pd.Series:
-    """All fields of each message in order; NULL for NULL and for what is no message."""
-    from decimal import Decimal
-
+def _decode(blobs: pd.Series) -> pd.Series:
     def read(blob: bytes | None) -> list | None:
         try:
             return None if blob is None else [(f, w, None if n is None else Decimal(n), b) for f, w, n, b in read_fields(bytes(blob))]
@@ -62,6 +60,11 @@ def proto_fields(blobs: pd.Series) -> pd.Series:
     return blobs.map(read)
 
 
+def proto_fields(blob: Column | str) -> Column:
+    """All fields of each message in order; NULL for NULL and for what is no message."""
+    return F.pandas_udf(_decode, FIELDS)(blob)
+
+
 def field_number(fields, number: int):
     """The last number under a field of decoded ``fields``, as bigint; NULL without one."""
     return F.try_element_at(F.filter(fields, lambda x: (x["field"] == number) & x["number"].isNotNull()), F.lit(-1))["number"].try_cast("bigint")
