@@ -41,12 +41,12 @@ def read_ranks(data: bytes) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in data.splitlines() if line)}
 
 
-def merge_by_rank(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """BPE by its definition: join the neighbours of lowest rank, leftmost first, until none can be joined."""
+def merge_by_rank(piece: bytes, ranks: dict[bytes, int], below: int = 1 << 60) -> list[int]:
+    """BPE by its definition: join the neighbours of lowest rank, leftmost first, until none of rank ``below`` can be."""
     parts = [piece[i : i + 1] for i in range(len(piece))]
     while len(parts) > 1:
         rank, at = min((ranks.get(a + b, 1 << 60), i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)))
-        if rank == 1 << 60:
+        if rank >= below:
             break
         parts[at : at + 2] = [parts[at] + parts[at + 1]]
     return [ranks[p] for p in parts]
@@ -62,6 +62,7 @@ class Transducer:
         self.max_states = max_states
         self._inner = {token[:k] for token in ranks for k in range(1, len(token))}  # what a longer token starts with
         self._fits: dict[tuple[int, int], bool] = {}
+        self._parts: dict[int, tuple[int, int] | None] = {}
         self._reset()
 
     def _reset(self) -> None:
@@ -71,17 +72,50 @@ class Transducer:
         self._next: dict[int, tuple[int, tuple[int, ...]]] = {}
         self._final: dict[int, tuple[int, ...]] = {}
 
+    def _halves(self, token: int) -> tuple[int, int] | None:
+        """The two tokens whose merge makes ``token``; None for a single byte."""
+        found = self._parts.get(token, ())
+        if found == ():
+            whole = self.tokens[token]
+            parts = merge_by_rank(whole, self.ranks, token) if len(whole) > 1 else []
+            found = self._parts[token] = (parts[0], parts[1]) if len(parts) == 2 else None
+        return found
+
     def _compatible(self, left: int, right: int) -> bool:
-        """Whether ``right`` may follow ``left``; -1 is the start of the word."""
-        found = self._fits.get((left, right))
+        """Whether ``right`` may follow ``left``; -1 is the start of the word.
+
+        Merging goes up in rank. Seen backwards, the token of higher rank at the boundary is taken apart first, and
+        the two tokens that then touch must not be joinable before it was made; of equal ranks the left one comes first.
+        """
+        if left < 0:
+            return self._whole(right)
+        key = (left, right)
+        found = self._fits.get(key)
         if found is None:
             if len(self._fits) > 2_000_000:
                 self._fits.clear()
-            known = self.tokens[left] if left >= 0 else b""
-            found = merge_by_rank(known + self.tokens[right], self.ranks) == ([left, right] if left >= 0 else [right])
-            self._fits[left, right] = found
+            found = self._fits[key] = self._whole(right) and self._touch(left, right)
         return found
 
+    def _whole(self, token: int) -> bool:
+        """Whether a token's own bytes are encoded as it."""
+        return len(self.tokens[token]) == 1 or self._halves(token) is not None
+
+    def _touch(self, left: int, right: int) -> bool:
+        ranks, tokens = self.ranks, self.tokens
+        made = 1 << 60
+        while True:
+            joined = ranks.get(tokens[left] + tokens[right])
+            if joined is not None and joined < made:
+                return False
+            a, b = self._halves(left), self._halves(right)
+            if a is None and b is None:
+                return True
+            if b is None or (a is not None and left > right):
+                made, left = left, a[1]
+            else:
+                made, right = right + 1, b[0]
+
     def _chain(self, last: tuple[int, ...] | list[int], at: int) -> list[int]:
         """Boundaries from 0 to ``at`` of the encoding that ends there."""
         chain = [at]
@@ -91,24 +125,28 @@ class Transducer:
         return chain[::-1]
 
     def _advance(self, number: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        certain, held, last, live = self._states[number]
+        _, held, last, live = self._states[number]
         held += bytes((byte,))
         end = len(held)
-        token = next(t for j in live if (t := self.ranks.get(held[j:])) is not None and self._compatible(last[j], t))
-        ends = [*last, token]
-        starts = [j for j in live if held[j:] in self._inner] + [end]
-        chains = [self._chain(ends, j) for j in starts]
-        shared = 0
-        for places in zip(*chains, strict=False):
-            if len(set(places)) > 1:
-                break
-            shared = places[0]
-        out = tuple(ends[b] for b in self._chain(ends, shared)[1:])
+        tails = [held[j:] for j in live]
+        token = next(t for j, tail in zip(live, tails, strict=True) if (t := self.ranks.get(tail)) is not None and self._compatible(last[j], t))
+        ends = (*last, token)
+        starts = [j for j, tail in zip(live, tails, strict=True) if tail in self._inner]
+        starts.append(end)
+        shared = starts[0]
+        if len(starts) > 1:
+            open_ends = set(starts)
+            while len(open_ends) > 1:  # the last boundary steps back to the one before it until all have met
+                furthest = max(open_ends)
+                open_ends.remove(furthest)
+                open_ends.add(furthest - len(self.tokens[ends[furthest]]))
+            shared = open_ends.pop()
+        out = tuple(ends[b] for b in self._chain(ends, shared)[1:]) if shared else ()
         key = (ends[shared], held[shared:])
         known = self._number.get(key)
         if known is None:
             known = self._number[key] = len(self._states)
-            self._states.append((key[0], key[1], tuple(ends[shared:]), tuple(j - shared for j in starts)))
+            self._states.append((key[0], key[1], ends[shared:], tuple(j - shared for j in starts)))
         self._next[number << 8 | byte] = (known, out)
         return known, out
 
