@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from commitlake.functions import paths as P
 from commitlake.functions import usage as U
-from commitlake.operators import archive, attribution, classify, graph, lines, page
+from commitlake.functions.protobuf import field_bytes, field_number, proto_fields
+from commitlake.operators import archive, attribution, classify, documents, graph, lines, page
 from commitlake.plans.views import dag, view, with_views
 from commitlake.session import materialise
 from commitlake.sources import agents
@@ -564,3 +565,53 @@ def page_rows(spark: SparkSession, folder: str) -> DataFrame:
 def compact_numbers(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "orders").select(F.floor("o_totalprice").cast("bigint").alias("n")).distinct()
     return rows.withColumn("shown", P.compact(F.col("n")))
+
+
+# Documents and windows
+
+
+@query(f"{with_views('calls')}, {_DAYS} SELECT source, day, model, input, output, cache_read, cache_write, CAST(sum(turns) OVER (PARTITION BY source, day) AS BIGINT) AS turns FROM days")
+def archive_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    """The archive written as one document a day and read back; turns are those of the source's whole day."""
+    days = documents.archive_days(archive_by_day_model(spark, folder))
+    whole = days.select(F.concat(F.lit('{"version":2,"days":{"'), "day", F.lit('":'), "document", F.lit("}}")).alias("t"))
+    return documents.read_archives(whole, "t")
+
+
+_WINDOWS = """stored AS (SELECT '/w/' || CAST(c_custkey % 400 AS STRING) AS path, CASE WHEN c_custkey % 3 = 0 THEN '2024-01-0' || CAST(1 + c_custkey % 9 AS STRING) END AS since, CASE WHEN c_custkey % 5 = 0 THEN '2024-01-2' || CAST(c_custkey % 9 AS STRING) END AS until FROM customer WHERE c_custkey < 400),
+    live AS (SELECT '/w/' || CAST(s_suppkey * 7 AS STRING) AS path, '2024-02-01' AS since FROM supplier)"""
+
+
+def _windows(spark: SparkSession, folder: str) -> DataFrame:
+    stored, live = (part.strip() for part in _WINDOWS.split("live AS ("))
+    stored = stored[len("stored AS (") :].rstrip(",").removesuffix(")").replace("FROM customer", "FROM {source}")
+    old = spark.sql(stored, source=table(spark, folder, "customer"))
+    now = spark.sql(live.removesuffix(")").replace("FROM supplier", "FROM {source}"), source=table(spark, folder, "supplier"))
+    return documents.session_windows(old, now, "2024-03-01")
+
+
+_NOW = "windows AS (SELECT coalesce(s.path, l.path) AS path, CASE WHEN l.path IS NOT NULL AND (s.path IS NULL OR s.until IS NOT NULL) THEN l.since ELSE s.since END AS since, CASE WHEN l.path IS NOT NULL THEN NULL WHEN s.until IS NULL THEN '2024-03-01' ELSE s.until END AS until FROM stored s FULL JOIN live l ON l.path = s.path)"
+
+
+@query(f"WITH {_WINDOWS}, {_NOW} SELECT * FROM windows")
+def session_windows(spark: SparkSession, folder: str) -> DataFrame:
+    return _windows(spark, folder)
+
+
+@query(f"WITH {_WINDOWS}, {_NOW} SELECT event_id FROM events e WHERE EXISTS (SELECT 1 FROM windows w WHERE w.path = '/w/' || CAST(e.user_id AS STRING) AND (since IS NULL OR CAST(CAST(ts AS DATE) AS STRING) >= since) AND (until IS NULL OR CAST(CAST(ts AS DATE) AS STRING) <= until))")
+def calls_in_windows(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "events").select("event_id", F.concat(F.lit("/w/"), F.col("user_id").cast("string")).alias("p"), F.col("ts").cast("date").cast("string").alias("d"))
+    return documents.in_windows(rows, "p", "d", _windows(spark, folder)).select("event_id")
+
+
+@query("SELECT event_id, CAST(event_id * 127 AS BIGINT) AS number, event_type AS text FROM events")
+def protobuf_fields(spark: SparkSession, folder: str) -> DataFrame:
+    """Numbers and texts of messages in wire format, decoded without a descriptor."""
+    hexed = lambda c: F.lpad(F.hex(c), 2, "0")
+    number = F.col("event_id") * 127
+    groups = [(F.shiftright(number, 7 * k) % 128 + 128).cast("bigint") for k in range(4)]
+    varint = F.concat(*(hexed(g) for g in groups), hexed(F.shiftright(number, 28) % 128))
+    blob = F.unhex(F.concat(F.lit("08"), varint, F.lit("12"), hexed(F.length("event_type").cast("bigint")), F.hex(F.encode("event_type", "UTF-8"))))
+    fields = proto_fields(F.col("blob"))
+    read = table(spark, folder, "events").select("event_id", blob.alias("blob")).select("event_id", fields.alias("f"))
+    return read.select("event_id", field_number(F.col("f"), 1).alias("number"), F.decode(field_bytes(F.col("f"), 2), "UTF-8").alias("text"))
