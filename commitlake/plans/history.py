@@ -561,7 +561,7 @@ def page_rows(spark: SparkSession, folder: str) -> DataFrame:
     return page.page_rows(_selected(spark, folder), _matrix(spark, folder), language_order(spark, folder))
 
 
-@query("SELECT n, CASE WHEN n < 1000 THEN CAST(n AS VARCHAR) WHEN n < 999950 THEN printf('%.1fK', n / 1e3) ELSE printf('%.1fM', n / 1e6) END AS shown FROM (SELECT DISTINCT CAST(floor(o_totalprice) AS BIGINT) AS n FROM orders)")
+@query("SELECT n, CASE WHEN n < 1000 THEN CAST(n AS VARCHAR) WHEN n < 999950 THEN printf('%.1fK', round_even(n / 1e2, 0) / 10) ELSE printf('%.1fM', round_even(n / 1e5, 0) / 10) END AS shown FROM (SELECT DISTINCT CAST(floor(o_totalprice) AS BIGINT) AS n FROM orders)")
 def compact_numbers(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "orders").select(F.floor("o_totalprice").cast("bigint").alias("n")).distinct()
     return rows.withColumn("shown", P.compact(F.col("n")))
