@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from commitlake.operators import hierarchy
 from commitlake.operators.attribution import pr_number
 from commitlake.session import materialise
 
@@ -14,13 +13,17 @@ def main_line(commits: DataFrame) -> DataFrame:
     """pos of the commits on the first-parent chain from the tip (the last pos), by pointer doubling.
 
     ``commits``: pos, parents (array of pos). Parents outside of the history are dropped before the first is taken.
+    Jumps double in each round, and with them the part of the chain that has been reached, so a chain of n commits
+    takes log2(n) rounds and no row holds more than one commit.
     """
-    links = _links(commits)
-    first = links.groupBy("pos").agg(F.min(F.struct("place", "parent")).alias("p")).select("pos", F.col("p.parent").alias("parent"))
-    nodes = commits.select("pos").join(first, "pos", "left").select(F.col("pos").cast("string").alias("node"), F.col("parent").cast("string").alias("parent"), F.lit(0).alias("repo"))
-    tip = commits.agg(F.max("pos").cast("string").alias("node"))
-    path = hierarchy.resolve(nodes, ["repo"], paths=True).join(tip, "node", "left_semi")
-    return path.select(F.explode("path").alias("pos")).select(F.col("pos").cast("bigint").alias("pos"))
+    first = _links(commits).groupBy("pos").agg(F.min(F.struct("place", "parent")).alias("p")).select("pos", F.col("p.parent").alias("parent"))
+    jumps = materialise(first, "jumps")
+    reached = commits.agg(F.max("pos").cast("bigint").alias("pos")).where("pos IS NOT NULL")
+    while not jumps.isEmpty():
+        reached = materialise(reached.unionByName(reached.join(jumps, "pos").select(F.col("parent").alias("pos"))), "reached")
+        onward = jumps.select(F.col("pos").alias("parent"), F.col("parent").alias("further"))
+        jumps = materialise(jumps.join(onward, "parent").select("pos", F.col("further").alias("parent")), "jumps")
+    return reached
 
 
 def _links(commits: DataFrame) -> DataFrame:
