@@ -11,6 +11,7 @@ from commitlake.functions import paths as P
 from commitlake.functions import usage as U
 from commitlake.functions.protobuf import field_bytes, field_number, proto_fields
 from commitlake.operators import archive, attribution, classify, documents, graph, lines, page
+from commitlake.plans.problems import normal_stamps
 from commitlake.plans.views import dag, view, with_views
 from commitlake.session import materialise
 from commitlake.sources import agents
@@ -459,8 +460,12 @@ def opencode_usage(spark: SparkSession, folder: str) -> DataFrame:
     """Usage of the message store by day and model, under the rules of each session's release.
 
     The ids of these tables hold their time in another way than the stores' own, so none is taken for a fork's copy.
+    Days are those of the instants of p1_found; calls whose stamp names none are under the day ``undated``.
     """
-    return archive.by_day_model(agents.store_calls(table(spark, folder, "message"), table(spark, folder, "opencode_session"), drop_forks=False))
+    instants = normal_stamps(spark, folder, "message").select("row_id", "utc_us")
+    messages = table(spark, folder, "message").join(instants, "row_id", "left")
+    calls = agents.store_calls(messages, table(spark, folder, "opencode_session"), drop_forks=False)
+    return archive.by_day_model(calls.withColumn("day", F.when(F.col("day") == "", "undated").otherwise(F.col("day"))))
 
 
 # Paths

@@ -38,13 +38,15 @@ def stamp_rows(spark: SparkSession, folder: str) -> DataFrame:
     return rows.withColumn("normal", F.when(F.col("field_name") == "time_created", F.col("stamp").rlike(r"^\d{13}$")).otherwise(stamps.is_iso_ms(F.col("stamp"))))
 
 
-def normal_stamps(spark: SparkSession, folder: str) -> DataFrame:
+def normal_stamps(spark: SparkSession, folder: str, of: str | None = None) -> DataFrame:
     """Every stamp with its instant: table_name, row_id, field_name, normal, utc_us (NULL where it names none).
 
-    projects is joined by broadcast only as far as Spark finds it below its own size limit.
+    ``of``: only the stamps of that table. projects is joined by broadcast only as far as Spark finds it below its own
+    size limit.
     """
     zones = table(spark, folder, "projects").groupBy("project").agg(F.min("zone_name").alias("zone_name"))
-    rows = stamp_rows(spark, folder).join(zones, "project", "left")
+    stamped = stamp_rows(spark, folder)
+    rows = (stamped if of is None else stamped.where(F.col("table_name") == of)).join(zones, "project", "left")
     return stamps.normalise_stamps(
         rows, stamp="stamp", zone="zone_name", source=["table_name", "field_name", "source"], order="ord", tie="row_id", keep=["table_name", "row_id", "field_name", "normal"], window=WINDOW_US
     )

@@ -167,12 +167,15 @@ def store_calls(messages: DataFrame, sessions: DataFrame, source: str = "opencod
 
     ``messages``: id, session_id, data, batch_no, row_id, time_updated and time_created (text); ``sessions``: id,
     version. Of the copies of a message the last delivered with valid data counts; a copy minted by a fork is left
-    out unless ``drop_forks`` is false. Counters follow the rules of the session's release.
+    out unless ``drop_forks`` is false. Counters follow the rules of the session's release. ``messages`` may have
+    utc_us, the instant of a time_created that is not in milliseconds; a call without any instant has the day ''.
     """
     shape = f"role string, providerID string, modelID string, tokens {_STORE_TOKENS}, parts array<struct<type:string,tokens:{_STORE_TOKENS},model:struct<providerID:string,modelID:string>>>"
-    read = messages.select("id", "session_id", "time_created", "batch_no", "row_id", json_object(F.col("data"), shape).alias("d")).where("d IS NOT NULL")
-    last = read.where(F.col("id") != "").groupBy("id").agg(F.max_by(F.struct("session_id", "time_created", "d"), F.struct("batch_no", "row_id")).alias("l")).select("id", "l.*")
-    mine = last.where(F.coalesce(U.text(F.col("d.role")), F.lit("assistant")) == "assistant").withColumn("u_ms", F.when(F.col("time_created").rlike(r"^\d{13}$"), F.col("time_created").cast("bigint")).otherwise(0))
+    instant = F.floor(F.col("utc_us") / 1000).cast("bigint") if "utc_us" in messages.columns else F.lit(None).cast("bigint")
+    ms = F.coalesce(F.when(F.col("time_created").rlike(r"^\d{13}$"), F.col("time_created").cast("bigint")), instant, F.lit(0).cast("bigint"))
+    read = messages.select("id", "session_id", ms.alias("u_ms"), "batch_no", "row_id", json_object(F.col("data"), shape).alias("d")).where("d IS NOT NULL")
+    last = read.where(F.col("id") != "").groupBy("id").agg(F.max_by(F.struct("session_id", "u_ms", "d"), F.struct("batch_no", "row_id")).alias("l")).select("id", "l.*")
+    mine = last.where(F.coalesce(U.text(F.col("d.role")), F.lit("assistant")) == "assistant")
     if drop_forks:
         mine = mine.where(~U.fork_copy(F.col("id"), F.col("u_ms")))
     steps = F.filter(F.coalesce("d.parts", F.array()), lambda x: (x["type"] == "step-finish") & x["tokens"].isNotNull())
