@@ -39,7 +39,7 @@ CODES = {
 _FENCE = re.compile(r"^\s*(?:```|~~~)")
 _TRAILER = re.compile(r"^\s*[A-Z][A-Za-z]*(?:-[A-Za-z]+)+:\s|^\s*(?:Fixes|Closes|Refs|See|Cc):\s+\S+\s*$")
 _CODE = re.compile(r"[={}]|;\s*$|\w\[\d|\w\(\w*\)?\s*[:;]|^\s*\"|\":|^\s*(?:\+{3}|-{3}|@@)\s|^\s*(?:import|from|def|class|return|func|fn|const|let|var|public|private|SELECT|INSERT)\s.*[(){};=:]\s*$|^\s*<[^>]+>\s*$|^\s*[$%]\s+\w|^\s*at\s+\S+\(")
-_TABLE = re.compile(r"^\s*\||\|\s*$|^\s*[-+=]{3,}\s*$")
+_TABLE = re.compile(r"^\s*\||^\s*[-+=]{3,}\s*$")
 _STAMP = re.compile(r"^\s*\[?\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}")
 _START = re.compile(r"^(\s*)(>[>\s]*)?((?:[-*+•]|\d{1,3}[.)]|\[[^\]\s]{0,8}\]|\[ \])\s+)*")
 _MASK = re.compile(
@@ -78,6 +78,16 @@ def _mask(line: str) -> str:
     return " ".join(parts)
 
 
+def _without_pipes(line: str) -> str | None:
+    """The line with the pipes and blanks at its end as blanks; None where it has cells between pipes and is a table's."""
+    kept = line.rstrip()
+    if not kept.endswith("|"):
+        return line
+    while kept.endswith("|"):
+        kept = kept.rstrip("|").rstrip()
+    return None if "|" in _mask(kept) else kept.ljust(len(line))
+
+
 def prose_sentences(text: str) -> list[tuple[int, int, list[str], int]]:
     """(start, end, words, prose characters) of every sentence of prose in ``text``.
 
@@ -92,10 +102,11 @@ def prose_sentences(text: str) -> list[tuple[int, int, list[str], int]]:
             fenced = not fenced
             out.append("\x01" * (len(line) + 1))
             continue
-        if fenced or not line.strip() or _TABLE.search(line) or _STAMP.match(line) or _TRAILER.match(line):
+        bare = _without_pipes(line)
+        if fenced or bare is None or not bare.strip() or _TABLE.search(line) or _STAMP.match(line) or _TRAILER.match(bare):
             out.append("\x01" * (len(line) + 1))
             continue
-        masked = _mask(line)
+        masked = _mask(bare)
         lead = _START.match(masked).end()
         bare = masked[lead:]
         heading = bare.startswith("#")
