@@ -387,6 +387,12 @@ def utc_day(spark: SparkSession, folder: str) -> DataFrame:
     return kept.select("row_id", F.coalesce(U.utc_day(F.col("created_at")), F.lit("")).alias("day"))
 
 
+@query()
+def utc_day_all(spark: SparkSession, folder: str) -> DataFrame:
+    """UTC day of every usage event, stamps with an offset or without zone too, which the SQL of utc_day leaves out."""
+    return table(spark, folder, "assistant_usage_events").select("row_id", U.utc_day(F.coalesce("created_at", F.lit(""))).alias("day"))
+
+
 _ID = "regexp_extract(id, '^[a-zA-Z]+_([0-9a-fA-F]{12})', 1)"
 _RAW = f"CAST('0x' || {_ID} AS BIGINT)"
 

@@ -28,3 +28,20 @@ def test_opencode_usage_keeps_every_call(spark):
     assert sums(counted) == sums(used)
     undated, without_ms = counted.where("day = 'undated'").agg(F.sum("turns")).first()[0] or 0, used.where("day = ''").count()
     assert undated < without_ms  # most stamps that are no milliseconds name an instant
+
+
+MOVED = {
+    "2026-01-01T00:30:00+02:00": "2025-12-31", "2026-01-01 23:30:00 -0300": "2026-01-02", "2026-01-01T23:30:00-04": "2026-01-02", "2026-01-01T00:30:00.5+01": "2025-12-31",
+    "2026-01-01T00:30:00+00:00": "2026-01-01", "2026-01-01T23:30:00.000Z": "2026-01-01", "2026-01-01 23:30": "2026-01-01", "2026-01-01 11:30:00 PM": "2026-01-01", "01.01.2026 10:00:00": "", "1767225600000": "", "": "", None: "",
+}
+
+
+def test_utc_day_all_moves_offsets(spark, tmp_path):
+    stamps = dict(enumerate(MOVED))
+    spark.createDataFrame([(i, s) for i, s in stamps.items()], "row_id long, created_at string").write.parquet(str(tmp_path / "assistant_usage_events.parquet"))
+    found = {stamps[r["row_id"]]: r["day"] for r in history.QUERIES["utc_day_all"](spark, str(tmp_path)).collect()}
+    assert found == MOVED
+
+
+def test_utc_day_all_has_every_row(spark):
+    assert history.QUERIES["utc_day_all"](spark, FOLDER).count() == table(spark, FOLDER, "assistant_usage_events").count()
