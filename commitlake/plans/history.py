@@ -593,8 +593,12 @@ _WINDOWS = """stored AS (SELECT '/w/' || CAST(c_custkey % 400 AS STRING) AS path
     live AS (SELECT '/w/' || CAST(s_suppkey * 7 AS STRING) AS path, '2024-02-01' AS since FROM supplier)"""
 
 
-def _windows(spark: SparkSession, folder: str) -> DataFrame:
-    stored, live = (part.strip() for part in _WINDOWS.split("live AS ("))
+#: The same over all customers, each with a path of its own.
+_ALL_WINDOWS = _WINDOWS.replace("c_custkey % 400", "c_custkey").replace(" WHERE c_custkey < 400", "")
+
+
+def _windows(spark: SparkSession, folder: str, parts: str = _WINDOWS) -> DataFrame:
+    stored, live = (part.strip() for part in parts.split("live AS ("))
     stored = stored[len("stored AS (") :].rstrip(",").removesuffix(")").replace("FROM customer", "FROM {source}")
     old = spark.sql(stored, source=table(spark, folder, "customer"))
     now = spark.sql(live.removesuffix(")").replace("FROM supplier", "FROM {source}"), source=table(spark, folder, "supplier"))
@@ -609,10 +613,20 @@ def session_windows(spark: SparkSession, folder: str) -> DataFrame:
     return _windows(spark, folder)
 
 
+@query(f"WITH {_ALL_WINDOWS}, {_NOW} SELECT * FROM windows")
+def session_windows_all(spark: SparkSession, folder: str) -> DataFrame:
+    return _windows(spark, folder, _ALL_WINDOWS)
+
+
 @query(f"WITH {_WINDOWS}, {_NOW} SELECT event_id FROM events e WHERE EXISTS (SELECT 1 FROM windows w WHERE w.path = '/w/' || CAST(e.user_id AS STRING) AND (since IS NULL OR CAST(CAST(ts AS DATE) AS STRING) >= since) AND (until IS NULL OR CAST(CAST(ts AS DATE) AS STRING) <= until))")
-def calls_in_windows(spark: SparkSession, folder: str) -> DataFrame:
+def calls_in_windows(spark: SparkSession, folder: str, parts: str = _WINDOWS) -> DataFrame:
     rows = table(spark, folder, "events").select("event_id", F.concat(F.lit("/w/"), F.col("user_id").cast("string")).alias("p"), F.col("ts").cast("date").cast("string").alias("d"))
-    return documents.in_windows(rows, "p", "d", _windows(spark, folder)).select("event_id")
+    return documents.in_windows(rows, "p", "d", _windows(spark, folder, parts)).select("event_id")
+
+
+@query(ORACLES["calls_in_windows"].replace(_WINDOWS, _ALL_WINDOWS))
+def calls_in_windows_all(spark: SparkSession, folder: str) -> DataFrame:
+    return calls_in_windows(spark, folder, _ALL_WINDOWS)
 
 
 @query("SELECT event_id, CAST(event_id * 127 AS BIGINT) AS number, event_type AS text FROM events")

@@ -45,3 +45,22 @@ def test_utc_day_all_moves_offsets(spark, tmp_path):
 
 def test_utc_day_all_has_every_row(spark):
     assert history.QUERIES["utc_day_all"](spark, FOLDER).count() == table(spark, FOLDER, "assistant_usage_events").count()
+
+
+def test_windows_of_all_customers(spark):
+    """At a size with more than 400 customers, and against the SQL."""
+    import duckdb
+
+    folder = "/root/testdata/sf0.01"
+    db = duckdb.connect()
+    for name in ("customer", "supplier", "events"):
+        db.execute(f"CREATE VIEW {name} AS SELECT * FROM '{folder}/{name}.parquet'")
+    for name in ("session_windows_all", "calls_in_windows_all"):
+        found = history.QUERIES[name](spark, folder)
+        want = db.execute(history.ORACLES[name])
+        places = [[c[0] for c in want.description].index(c) for c in found.columns]
+        rows = sorted(map(tuple, found.collect()), key=repr)
+        assert rows == sorted((tuple(r[i] for i in places) for r in want.fetchall()), key=repr)
+        if name == "session_windows_all":
+            keys = {r[0] for r in db.execute("SELECT '/w/' || c_custkey FROM customer").fetchall()}
+            assert len(keys) > 400 and keys <= {r[0] for r in rows}
