@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -328,28 +329,28 @@ def _late_totals(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(f"{_ALL} SELECT * FROM series")
-def source_series(spark: SparkSession, folder: str) -> DataFrame:
-    return archive.source_series(_late_totals(spark, folder), _worked(spark, folder))
+def source_series(spark: SparkSession, folder: str, totals: Callable[[SparkSession, str], DataFrame] = _late_totals) -> DataFrame:
+    return archive.source_series(totals(spark, folder), _worked(spark, folder))
 
 
 @query(f"{_ALL} SELECT day, CAST(sum(tokens) AS BIGINT) AS tokens, CASE WHEN max(kind = 'e') THEN 'e' ELSE 'm' END AS kind FROM series GROUP BY 1".replace("max(kind = 'e')", "bool_or(kind = 'e')"))
-def token_per_day_combined(spark: SparkSession, folder: str) -> DataFrame:
-    return archive.combined_series(source_series(spark, folder))
+def token_per_day_combined(spark: SparkSession, folder: str, totals: Callable[[SparkSession, str], DataFrame] = _late_totals) -> DataFrame:
+    return archive.combined_series(source_series(spark, folder, totals))
 
 
 _SHARES = "shares AS (SELECT m.pos, m.source, CAST(round_even(CAST(s.tokens * m.churn AS DOUBLE) / sum(m.churn) OVER (PARTITION BY m.source, m.day), 0) AS BIGINT) AS tokens, s.kind FROM mine m JOIN series s ON s.source = m.source AND s.day = m.day WHERE m.churn > 0)"
 
 
 @query(f"{_ALL}, {_SHARES} SELECT * FROM shares")
-def commit_shares(spark: SparkSession, folder: str) -> DataFrame:
+def commit_shares(spark: SparkSession, folder: str, totals: Callable[[SparkSession, str], DataFrame] = _late_totals) -> DataFrame:
     """Tokens of each AI commit, measured or estimated."""
     worked = _worked(spark, folder)
-    return archive.commit_shares(archive.source_series(_late_totals(spark, folder), worked), worked)
+    return archive.commit_shares(archive.source_series(totals(spark, folder), worked), worked)
 
 
 @query(f"{_ALL}, {_SHARES} SELECT pos, CAST(sum(tokens) AS BIGINT) AS tokens, max(kind) AS kind FROM shares GROUP BY 1")
-def tokens_by_commit(spark: SparkSession, folder: str) -> DataFrame:
-    return commit_shares(spark, folder).groupBy("pos").agg(F.sum("tokens").cast("bigint").alias("tokens"), F.max("kind").alias("kind"))
+def tokens_by_commit(spark: SparkSession, folder: str, totals: Callable[[SparkSession, str], DataFrame] = _late_totals) -> DataFrame:
+    return commit_shares(spark, folder, totals).groupBy("pos").agg(F.sum("tokens").cast("bigint").alias("tokens"), F.max("kind").alias("kind"))
 
 
 @query(
@@ -357,9 +358,14 @@ def tokens_by_commit(spark: SparkSession, folder: str) -> DataFrame:
     "covered AS (SELECT m.source, CAST(sum(churn) AS BIGINT) AS covered_churn FROM mine m JOIN series s ON s.source = m.source AND s.day = m.day AND s.kind = 'm' GROUP BY 1), top AS (SELECT source, model FROM (SELECT source, model, sum(input + output + cache_read + cache_write) AS t FROM days GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY source ORDER BY t DESC, model) = 1) "
     "SELECT s.*, coalesce(covered_churn, 0) AS covered_churn, model AS top_model FROM sums s LEFT JOIN covered c USING (source) LEFT JOIN top USING (source)"
 )
-def source_summary(spark: SparkSession, folder: str) -> DataFrame:
+def source_summary(spark: SparkSession, folder: str, totals: Callable[[SparkSession, str], DataFrame] = _late_totals) -> DataFrame:
     worked = _worked(spark, folder)
-    return archive.source_summary(archive.source_series(_late_totals(spark, folder), worked), archive_by_day_model(spark, folder), worked)
+    return archive.source_summary(archive.source_series(totals(spark, folder), worked), archive_by_day_model(spark, folder), worked)
+
+
+for _of in (source_series, token_per_day_combined, commit_shares, tokens_by_commit, source_summary):  # the same over all measured totals
+    QUERIES[f"{_of.__name__}_all"] = partial(_of, totals=source_totals)
+    ORACLES[f"{_of.__name__}_all"] = ORACLES[_of.__name__].replace(" WHERE CAST(right(day, 2) AS INT) > 10", "")
 
 
 @query("SELECT event_id, last_value(CASE WHEN event_id % 5 = 0 THEN event_type END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS model FROM events")

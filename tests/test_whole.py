@@ -64,3 +64,10 @@ def test_windows_of_all_customers(spark):
         if name == "session_windows_all":
             keys = {r[0] for r in db.execute("SELECT '/w/' || c_custkey FROM customer").fetchall()}
             assert len(keys) > 400 and keys <= {r[0] for r in rows}
+
+
+def test_series_keeps_every_total(spark):
+    measured = history.QUERIES["source_series_all"](spark, FOLDER).where("kind = 'm'").select("source", "day", "tokens")
+    totals = history.QUERIES["source_totals"](spark, FOLDER).select("source", "day", "tokens")
+    assert sorted(measured.collect()) == sorted(totals.collect())
+    assert totals.where("substring(day, 9, 2) <= '10'").count() > 0
