@@ -30,11 +30,6 @@ def inclusive(prompt: Column | int = 0, output: Column | int = 0, cached: Column
     return additive(column(prompt) - column(cached) - column(cache_write), column(output), column(cached), column(cache_write))
 
 
-def total(counters: Column) -> Column:
-    """Sum of the four counters of a struct."""
-    return sum((counters[c] for c in COUNTERS[1:]), counters[COUNTERS[0]])
-
-
 def utc_day(stamp: Column) -> Column:
     """UTC day (text) of an ISO 8601 stamp; its first ten characters where it cannot be moved; '' where it is none.
 
@@ -111,24 +106,34 @@ def chat_counters(tokens: Column) -> Column:
     return additive(F.greatest(F.lit(0), n["input"] - n["cached"]) + n["tool"], n["output"] + F.when(folded, 0).otherwise(n["thoughts"]), n["cached"])
 
 
-#: Bits of the time and of the counter in an id, and the slack of a copied id's time (fixed values).
+#: Bits of an id's number and of the counter below its time, and how far a time may be off (fixed values).
 ID_BITS, ID_COUNTER_BITS, FORK_SLACK_MS = 48, 12, 60_000
 
 
-def id_times(value: Column) -> Column:
-    """The two creation times (ms, low bits) an id can mean, rising and falling; empty where it has none."""
-    hexed = F.regexp_extract(F.coalesce(value, F.lit("")), r"^[a-zA-Z]+_([0-9a-fA-F]{12})", 1)
-    raw = F.conv(hexed, 16, 10).cast("bigint")
-    top = F.lit((1 << ID_BITS) - 1)
-    return F.when(hexed != "", F.array(F.shiftright(raw, ID_COUNTER_BITS), F.shiftright(top - raw, ID_COUNTER_BITS))).otherwise(F.array().cast("array<bigint>"))
+def minted_ms(value: Column) -> Column:
+    """The times (ms, modulo 2**36) an id can have been minted at; empty where its number is missing.
+
+    Twelve hexadecimal digits behind a word hold the time above a counter, rising in some ids and as its complement,
+    falling, in others; nothing says which, so both readings are given.
+    """
+    number = F.conv(F.nullif(F.regexp_extract(value, "^[A-Za-z]+_([0-9A-Fa-f]{12})", 1), F.lit("")), 16, 10).cast("bigint")
+    rising = F.array(number, F.bitwise_not(number).bitwiseAND(F.lit((1 << ID_BITS) - 1)))
+    return F.coalesce(F.when(number.isNotNull(), F.transform(rising, lambda n: F.shiftright(n, ID_COUNTER_BITS))), F.array().cast("array<bigint>"))
+
+
+def ring_distance(a: Column, b: Column, bits: int) -> Column:
+    """How far two numbers are apart on a ring of 2**bits."""
+    ahead = (a - b).bitwiseAND(F.lit((1 << bits) - 1))
+    return F.least(ahead, F.lit(1 << bits) - ahead)
 
 
 def fork_copy(value: Column, created_ms: Column) -> Column:
-    """Whether an id was minted over a minute from the time its record gives, by either reading of the id."""
-    modulus = 1 << (ID_BITS - ID_COUNTER_BITS)
-    gap = lambda t: F.pmod(t - created_ms, F.lit(modulus))
-    near = F.exists(id_times(value), lambda t: F.least(gap(t), F.lit(modulus) - gap(t)) <= FORK_SLACK_MS)
-    return F.coalesce((created_ms > 0) & (F.size(id_times(value)) > 0) & ~near, F.lit(False))
+    """Whether no reading of an id lies within FORK_SLACK_MS of the time its record gives: a fork minted it anew.
+
+    False for an id without a number and for a record without a time.
+    """
+    nearest = F.array_min(F.transform(minted_ms(value), lambda t: ring_distance(t, created_ms, ID_BITS - ID_COUNTER_BITS)))
+    return F.coalesce((created_ms > 0) & (nearest > FORK_SLACK_MS), F.lit(False))
 
 
 def uuid7(value: Column) -> Column:

@@ -408,7 +408,7 @@ _RAW = f"CAST('0x' || {_ID} AS BIGINT)"
     "SELECT row_id, coalesce(c > 0 AND least(x, 68719476736 - x) > 60000 AND least(y, 68719476736 - y) > 60000, false) AS is_copy FROM g"
 )
 def fork_copy_ids(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "message").where(F.size(U.id_times(F.col("id"))) > 0)
+    rows = table(spark, folder, "message").where(F.size(U.minted_ms(F.col("id"))) > 0)
     return rows.select("row_id", U.fork_copy(F.col("id"), F.col("time_updated")).alias("is_copy"))
 
 

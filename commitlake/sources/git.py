@@ -7,24 +7,38 @@ runs; on a cluster the repository must lie on a shared path, or these readers ru
 from __future__ import annotations
 
 import os
+import re
 import subprocess
 from collections.abc import Iterator
 
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+#: Commits a task reads.
+COMMITS = 1000
 
-def git(repo: str, *args: str) -> str:
-    """Output of one git command, free of the caller's repository variables; an empty text where it fails."""
+
+def git(repo: str, *args: str, given: str = "") -> str:
+    """Output of one git command on the text ``given``, free of the caller's repository variables.
+
+    A command that fails raises: an empty history must not be taken for one that could not be read.
+    """
     env = {k: v for k, v in os.environ.items() if not k.startswith("GIT_")} | {"GIT_CONFIG_NOSYSTEM": "1", "LC_ALL": "C"}
-    done = subprocess.run(["git", "-C", repo, *args], capture_output=True, env=env, check=False)
+    done = subprocess.run(["git", "-C", repo, *args], input=given.encode(), capture_output=True, env=env, check=False)
+    if done.returncode:
+        raise RuntimeError(f"git {args[0]} in {repo}: {done.stderr.decode('utf-8', 'replace').strip()}")
     return done.stdout.decode("utf-8", "replace")
 
 
+def is_shallow(repo: str) -> bool:
+    """Whether the history of a clone has been cut."""
+    return git(repo, "rev-parse", "--is-shallow-repository").strip() == "true"
+
+
 class _Part(InputPartition):
-    def __init__(self, value: list[str]) -> None:
+    def __init__(self, value: list[str], first: int = 0) -> None:
         super().__init__(value)
-        self.items = value
+        self.items, self.first = value, first
 
 
 class _Reader(DataSourceReader):
@@ -34,31 +48,49 @@ class _Reader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         return [_Part([])]
 
+    def commits(self, *order: str) -> list[InputPartition]:
+        """The commits in parts; a part knows the place of its first."""
+        ids = git(self.repo, "rev-list", *order, self.rev).split()
+        return [_Part(ids[i : i + COMMITS], i) for i in range(0, len(ids), COMMITS)]
+
 
 class _Log(_Reader):
+    def partitions(self) -> list[InputPartition]:
+        return self.commits("--reverse")
+
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        out = git(self.repo, "log", "--reverse", "-z", "--format=%H%x1f%P%x1f%aI%x1f%s%x1f%b", self.rev)
-        for pos, record in enumerate(r for r in out.split("\0") if r):
-            commit, parents, stamp, subject, body = record.lstrip("\n").split("\x1f", 4)
+        out = git(self.repo, "log", "--no-walk=unsorted", "--stdin", "-z", "--format=%H%x1f%P%x1f%aI%x1f%s%x1f%b", given="\n".join(partition.items))
+        for pos, record in enumerate((r for r in out.split("\0") if r), partition.first):
+            commit, parents, stamp, subject, body = record.split("\x1f", 4)
             yield pos, commit, parents.split(), stamp, subject, body
 
 
+_CHANGE = r":(\d+) (\d+) (\w+) (\w+) "
+#: An entry of the raw format: a commit's id; a rename or copy with its two paths; another change with its one.
+_ENTRY = re.compile(rf"([0-9a-f]{{40,64}})\0|{_CHANGE}([RC]\d*)\0([^\0]*)\0([^\0]*)\0|{_CHANGE}([A-Z]\d*)\0([^\0]*)\0")
+
+
+def _changes(raw: str, place: dict[str, int]) -> Iterator[tuple]:
+    """Rows of ``gitchanges``; seq rises with the place of the commit and, in it, with the place of the change."""
+    commit = ""
+    for n, entry in enumerate(_ENTRY.finditer(raw)):
+        if entry[1]:
+            commit = entry[1]
+            continue
+        old_mode, new_mode, old_blob, new_blob, status, old, new = entry.group(*range(2, 9)) if entry[2] else (*entry.group(*range(9, 15)), entry[14])
+        yield (place[commit] << 32) + n, commit, status, old_mode, new_mode, old_blob, new_blob, old, new
+
+
 class _Changes(_Reader):
+    """Changes of each commit against its parent, newest commit first; merges have none."""
+
+    def partitions(self) -> list[InputPartition]:
+        return self.commits()
+
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        out = git(self.repo, "log", "-M", "--raw", "-z", "--no-abbrev", "--format=%x01%H", self.rev).split("\0")
-        commit, seq, i = None, 0, 0
-        while i < len(out):
-            field = out[i].lstrip("\n")
-            i += 1
-            if "\x01" in field:
-                commit = field.split("\x01", 1)[1].strip()
-            elif field.startswith(":"):
-                old_mode, new_mode, old_blob, new_blob, status = field[1:].split()
-                old = out[i]
-                new = out[i + 1] if status[0] in "RC" else old
-                i += 2 if status[0] in "RC" else 1
-                yield seq, commit, status, old_mode, new_mode, old_blob, new_blob, old, new
-                seq += 1
+        place = {commit: partition.first + i for i, commit in enumerate(partition.items)}
+        out = git(self.repo, "diff-tree", "--stdin", "-r", "-M", "--raw", "-z", "--root", "--no-abbrev", given="\n".join(partition.items) + "\n")
+        yield from _changes(out, place)
 
 
 class _Tree(_Reader):
