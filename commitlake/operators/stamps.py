@@ -7,8 +7,9 @@ source chooses, paying for switches of format and for jumps back in time.
 Scale: a chain is cut into blocks of the record order, so a source that holds a third of all rows is spread over many
 tasks. A record with one interpretation separates a chain exactly, so only ambiguous records, their neighbours and the
 ends of blocks reach Python. Blocks are first reduced to the cost matrix between the states of their first and last
-record; one pass over these summaries fixes the states at the block ends, then all blocks are decoded on their own.
-The result equals one Viterbi over the whole chain, whatever the block size.
+record; blocks of blocks likewise, until a source has few of them. One pass over the topmost fixes the states at their
+ends, and level by level those of the blocks within; then all blocks are decoded on their own. The result equals one
+Viterbi over the whole chain, whatever the block size, and no task holds more than a block or a block of blocks.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from commitlake.session import materialise
+from commitlake.session import materialise, utc
 
 #: Cost of a change of format from one record to the next, and of a step back in time by more than SLACK_US.
 SWITCH, BACKWARD, SLACK_US = 1.0, 2.0, 90_000_000
@@ -193,20 +194,40 @@ def _summarise(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame(out, columns=["t_src", "t_blk", "first", "last", "matrix"])
 
 
+def _joined(blocks: list) -> list[list[float]]:
+    """The least cost from each state of the first block's first record to each of the last block's last."""
+    costs = [list(row) for row in blocks[0].matrix]
+    for b, n in zip(blocks, blocks[1:], strict=False):
+        entry = [[min(row[i] + _step(a, x) for i, a in enumerate(b.last)) for x in n.first] for row in costs]
+        costs = [[min(e[i] + n.matrix[i][j] for i in range(len(n.first))) for j in range(len(n.last))] for e in entry]
+    return costs
+
+
+def _summarise_blocks(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Blocks of blocks as ``_summarise`` gives blocks: t_src, t_sup as t_blk, first, last, matrix."""
+    out = [(src, sup, blocks[0].first, blocks[-1].last, _joined(blocks)) for (src, sup), blocks in _groups(batches, "t_src", "t_sup")]
+    yield pd.DataFrame(out, columns=["t_src", "t_blk", "first", "last", "matrix"])
+
+
 def _stitch(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """States of the first and last record of every block on the best path through its source's blocks."""
+    """States of the first and last record of every block on the best path through the blocks of its block of blocks.
+
+    Rows with t_first and t_last (states of the ends of the whole, fixed a level above) go on the best path between
+    these; others on the best of all.
+    """
     out = []
-    for (src,), blocks in _groups(batches, "t_src"):
+    for (src, _), blocks in _groups(batches, "t_src", "t_sup"):
+        fixed = hasattr(blocks[0], "t_first")
         costs: list[float] = []
         back: list[list[tuple[int, int]]] = []  # for each block and last state: first state, last state of the block before
         for n, b in enumerate(blocks):
-            entry = [(0.0, 0)] * len(b.first)
+            entry = [(float("inf") if fixed and i != b.t_first else 0.0, 0) for i in range(len(b.first))]
             if n:
                 entry = [min((costs[i] + _step(a, x), i) for i, a in enumerate(blocks[n - 1].last)) for x in b.first]
             best = [min((entry[i][0] + b.matrix[i][j], i) for i in range(len(b.first))) for j in range(len(b.last))]
             costs = [c for c, _ in best]
             back.append([(i, entry[i][1]) for _, i in best])
-        state = min(range(len(costs)), key=lambda j: (costs[j], j))
+        state = int(blocks[-1].t_last) if fixed else min(range(len(costs)), key=lambda j: (costs[j], j))
         for n in range(len(blocks) - 1, -1, -1):
             first, before = back[n][state]
             out.append((src, blocks[n].t_blk, first, state))
@@ -236,14 +257,21 @@ def _decode(keep: list[str]):
 
 
 def normalise_stamps(
-    df: DataFrame, *, stamp: str, zone: str, source: list[str], order: str, tie: str, keep: list[str], window: tuple[int, int], fold: str = "earlier", block: int = 4096
+    df: DataFrame, *, stamp: str, zone: str, source: list[str], order: str, tie: str, keep: list[str], window: tuple[int, int], fold: str = "earlier", block: int = 4096, fan: int = 4096
 ) -> DataFrame:
     """``keep`` columns and ``utc_us`` of every row of ``df``: the instant its ``stamp`` names, or NULL.
 
     ``source`` columns name the chain, ``order`` (bigint) and ``tie`` (bigint) its record order. Rows without an
     interpretation get NULL and leave the chain. Equal orders and ties are taken as they come. An empty table gives
-    an empty result. Columns of ``df`` outside ``keep`` are not carried, so any further columns may exist.
+    an empty result. Columns of ``df`` outside ``keep`` are not carried, so any further columns may exist. ``block``: span
+    of the order that a block covers; ``fan``: blocks in a block of blocks. Times are read in UTC whatever the zone of
+    the session.
     """
+    with utc(df.sparkSession):
+        return _normalise(df, stamp, zone, source, order, tie, keep, window, fold, block, fan)
+
+
+def _normalise(df: DataFrame, stamp: str, zone: str, source: list[str], order: str, tie: str, keep: list[str], window: tuple[int, int], fold: str, block: int, fan: int) -> DataFrame:
     parsed = materialise(
         with_candidates(
             df.select(
@@ -264,6 +292,8 @@ def normalise_stamps(
     settled = parsed.where(F.size("t_cands") < 2).select(*keep, F.try_element_at("t_cands", F.lit(1))["us"].alias("utc_us"))
     open_sources = parsed.where(F.size("t_cands") > 1).select("t_src").distinct()
     chain = parsed.where(F.size("t_cands") > 0).join(open_sources, "t_src", "left_semi").withColumn("t_blk", F.floor(F.col("t_ord") / block))
+    # asked for by name: the join's own partitioning, by source alone, would do for the windows and put a hot source in one task
+    chain = chain.repartition("t_src", "t_blk")
     inside = Window.partitionBy("t_src", "t_blk").orderBy("t_ord", "t_tie")
     several = F.size("t_cands") > 1
     near = F.coalesce(F.lag(several).over(inside), F.lit(True)) | F.coalesce(F.lead(several).over(inside), F.lit(True))
@@ -272,8 +302,15 @@ def normalise_stamps(
     states = next(f.dataType for f in chain.schema.fields if f.name == "t_cands")
     summary = T.StructType([*kinds.fields, T.StructField("first", states), T.StructField("last", states), T.StructField("matrix", T.ArrayType(T.ArrayType(T.DoubleType())))])
     ends = T.StructType([*kinds.fields, T.StructField("t_first", T.IntegerType()), T.StructField("t_last", T.IntegerType())])
-    blocks = chain.sortWithinPartitions("t_src", "t_blk", "t_ord", "t_tie").mapInPandas(_summarise, summary)
-    fixed = blocks.repartition("t_src").sortWithinPartitions("t_src", "t_blk").mapInPandas(_stitch, ends)
-    ordered = chain.join(fixed, ["t_src", "t_blk"]).repartition("t_src", "t_blk").sortWithinPartitions("t_src", "t_blk", "t_ord", "t_tie")
+    by_block = lambda df, *keys: df.repartition(*keys).sortWithinPartitions(*keys, *(c for c in ("t_blk", "t_ord", "t_tie") if c in df.columns and c not in keys))
+    levels = [materialise(chain.sortWithinPartitions("t_src", "t_blk", "t_ord", "t_tie").mapInPandas(_summarise, summary), "blocks")]
+    above = lambda level: level.withColumn("t_sup", F.floor(F.col("t_blk") / fan))
+    while not above(levels[-1]).groupBy("t_src").agg(F.count_distinct("t_sup").alias("n")).where("n > 1").isEmpty():
+        levels.append(materialise(by_block(above(levels[-1]), "t_src", "t_sup").mapInPandas(_summarise_blocks, summary), "blocks"))
+    fixed = by_block(above(levels[-1]), "t_src", "t_sup").mapInPandas(_stitch, ends)
+    for level in reversed(levels[:-1]):
+        whole = fixed.withColumnRenamed("t_blk", "t_sup")
+        fixed = by_block(above(level).join(whole, ["t_src", "t_sup"]), "t_src", "t_sup").mapInPandas(_stitch, ends)
+    ordered = by_block(chain.join(fixed, ["t_src", "t_blk"]), "t_src", "t_blk")
     out = T.StructType([*(f for f in parsed.schema.fields if f.name in keep), T.StructField("utc_us", T.LongType())])
     return settled.unionByName(ordered.mapInPandas(_decode([f.name for f in out.fields[:-1]]), out))

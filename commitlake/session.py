@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import re
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -49,16 +51,33 @@ def ship(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only a session without that setting (tests, one machine) gets a local temporary folder.
+    Only a session on one machine (master ``local``) may do without that setting; it gets a temporary folder. On a
+    cluster its absence raises: each executor would write to a disk of its own and read less back, unseen.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="commitlake-")
         spark.conf.set("spark.checkpoint.dir", found)
         _scratch.append((spark, found))
     return found.rstrip("/")
 
 
+@contextlib.contextmanager
+def utc(spark: SparkSession) -> Iterator[None]:
+    """Plans built inside read and write timestamps in UTC, whatever the zone of the session.
+
+    An expression takes the session's zone when it is resolved, which is when the DataFrame is made.
+    """
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new folder below the shared one. It is not created yet; the first writer does that."""
     path = f"{shared_dir(spark)}/commitlake/{name}-{uuid.uuid4().hex[:12]}"
@@ -81,8 +100,15 @@ def remove_path(spark: SparkSession, path: str) -> None:
 
 
 @atexit.register
-def _clean() -> None:
-    for spark, path in _scratch:
+def release() -> None:
+    """Remove the intermediate tables of this process; results that still read them cannot be computed any more.
+
+    Runs at the end of the process. A long session calls it when it has written its results.
+    """
+    while _scratch:
+        spark, path = _scratch.pop()
         with contextlib.suppress(Exception):
             if spark.sparkContext._jsc is not None:
                 remove_path(spark, path)
+                if spark.conf.get("spark.checkpoint.dir", None) == path:
+                    spark.conf.unset("spark.checkpoint.dir")

@@ -87,8 +87,8 @@ def brute(states):
     return [s[k]["us"] for s, k in zip(states, reversed(path))], min(costs)
 
 
-@pytest.mark.parametrize("block", [3, 7, 4096])
-def test_blocks_give_the_whole_chain(spark, block):
+@pytest.mark.parametrize(("block", "fan"), [(3, 2), (7, 4096), (4096, 4096)])
+def test_blocks_give_the_whole_chain(spark, block, fan):
     """Any block size finds a path as cheap as one Viterbi over the whole source, even without a single clear stamp."""
     random.seed(block)
     rows = []
@@ -96,7 +96,7 @@ def test_blocks_give_the_whole_chain(spark, block):
         for i in range(60 if source == "hot" else 9):
             d, m = random.randint(1, 12), random.randint(1, 12)
             rows.append((source, i, f"{d:02d}/{m:02d}/2026 {random.randint(0, 23):02d}:00:00", "UTC", None, None))
-    got = normalise(spark, rows, block=block)
+    got = normalise(spark, rows, block=block, fan=fan)
     df = spark.createDataFrame(rows, "src string, ord long, stamp string, zone string, extra string, t_src string")
     cands = {(r["src"], r["ord"]): [c.asDict() for c in r["t_cands"]] for r in stamps.with_candidates(df, "stamp", "zone", WIDE).collect()}
     for source in ("hot", "small"):
@@ -117,3 +117,27 @@ def test_empty_and_repeated_rows(spark):
 
 def test_very_long_stamp(spark):
     assert normalise(spark, [("l", 1, "9" * 100_000, "UTC", None, None), ("l", 2, "x" * 100_000, "UTC", None, None)]) == {("l", 1): None, ("l", 2): None}
+
+
+def test_the_zone_of_the_session_says_nothing(spark):
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+    try:
+        got = normalise(spark, [("z", 1, "2026-01-02T03:04:05.678Z", "UTC", None, None), ("z", 2, "2026-01-02 03:04", "Europe/Berlin", None, None)])
+        assert spark.conf.get("spark.sql.session.timeZone") == "Asia/Tokyo"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert got == {("z", 1): us(2026, 1, 2, 3, 4, 5, micro=678000), ("z", 2): us(2026, 1, 2, 2, 4)}
+
+
+def test_a_hot_source_is_spread_over_its_blocks(spark):
+    """Without broadcasts, too, the chain is partitioned by source and block."""
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = spark.createDataFrame([("h", i, "03/04/2026 10:00:00", "UTC", None, None) for i in range(50)], "src string, ord long, stamp string, zone string, extra string, t_src string")
+        found = stamps.normalise_stamps(df, stamp="stamp", zone="zone", source=["src"], order="ord", tie="ord", keep=["src", "ord"], window=WIDE, block=10)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    window = plan[plan.index("Window [") :]
+    assert "hashpartitioning(t_src" in window and window.index("t_blk") < window.index("SortMergeJoin")

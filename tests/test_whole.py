@@ -71,3 +71,16 @@ def test_series_keeps_every_total(spark):
     totals = history.QUERIES["source_totals"](spark, FOLDER).select("source", "day", "tokens")
     assert sorted(measured.collect()) == sorted(totals.collect())
     assert totals.where("substring(day, 9, 2) <= '10'").count() > 0
+
+
+def test_no_intermediate_table_outside_of_a_shared_folder():
+    from types import SimpleNamespace
+
+    import pytest
+
+    from commitlake.session import shared_dir
+
+    conf = SimpleNamespace(get=lambda *a: None)
+    cluster = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(getConf=lambda: conf, master="spark://host:7077"))
+    with pytest.raises(RuntimeError):
+        shared_dir(cluster)
