@@ -19,8 +19,9 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,7 @@ _FENCE = re.compile(r"^\s*(?:```|~~~)")
 _TRAILER = re.compile(r"^\s*[A-Z][A-Za-z]*(?:-[A-Za-z]+)+:\s|^\s*(?:Fixes|Closes|Refs|See|Cc):\s+\S+\s*$")
 _CODE = re.compile(r"[={}]|;\s*$|\w\[\d|\w\(\w*\)?\s*[:;]|^\s*\"|\":|^\s*(?:\+{3}|-{3}|@@)\s|^\s*(?:import|from|def|class|return|func|fn|const|let|var|public|private|SELECT|INSERT)\s.*[(){};=:]\s*$|^\s*<[^>]+>\s*$|^\s*[$%]\s+\w|^\s*at\s+\S+\(")
 _TABLE = re.compile(r"^\s*\||^\s*[-+=]{3,}\s*$")
+_STAMP_SIGNS = frozenset("0123456789[")
 _STAMP = re.compile(r"^\s*\[?\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}")
 _START = re.compile(r"^(\s*)(>[>\s]*)?((?:[-*+•]|\d{1,3}[.)]|\[[^\]\s]{0,8}\]|\[ \])\s+)*")
 _MASK = re.compile(
@@ -50,9 +52,12 @@ _MASK = re.compile(
     re.ASCII,
 )
 #: A token without one of these characters holds nothing to mask; neither does a line hold code without one of those.
-_SPECIAL = re.compile(r"[0-9/_@<\x1b]|\.[a-z]")
-_CODE_SIGN = re.compile(r"[={};:\[(\"<@$%]|^\s*[+-]")
-_END = re.compile(r"[.!?…]+[\"'»”’)]*(?=[\s\x01]|$)|[。！？]+[」』”）]*|\x01+")
+_SPECIAL = re.compile(r"[0-9/_@<\x1b]|\.[a-z]|[A-Za-z0-9+/]{24}")
+_SPECIAL_TOKEN = re.compile(r"(?<![^ ])(?:[^ ]*?(?:[0-9/_@<\x1b]|\.[a-z])[^ ]*|[^ ]{24,})")
+_CODE_SIGN = re.compile(r"[={};:\[(\"<@$%]")
+#: Ends of sentences, laid out so that the search runs over one class of characters: stops before a blank, stops of
+#: scripts without blanks, breaks.
+_END = re.compile(r"[.!?…。！？\x01](?:(?<=[.!?…])[.!?…]*[\"'»”’)]*(?=[\s\x01]|$)|(?<=[。！？])[。！？]*[」』”）]*|(?<=\x01)\x01*)")
 _ASCII_WORD = re.compile(r"[A-Za-z]+(?:'[A-Za-z]+)*")
 _WORD = regex.compile(r"[\p{L}\p{M}]+(?:['’][\p{L}\p{M}]+)*")
 _CJK = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}ー]")
@@ -67,15 +72,38 @@ def normal_label(label: str | None) -> str | None:
     return next((code for code, more in CODES.items() if head == code or head in more), None)
 
 
+def _words(text: str) -> Callable[[str], list[str]]:
+    """Function that lists the words of a part of ``text``."""
+    return _ASCII_WORD.findall if text.isascii() else _WORD.findall
+
+
+def _blank(match: re.Match) -> str:
+    return "\x02" * len(match[0])
+
+
+#: Tokens with their masks, for numbers, paths and names repeat; emptied when it is full.
+_masks: dict[str, str] = {}
+
+
+def _mask_token(match: re.Match) -> str:
+    token = match[0]
+    masked = _masks.get(token)
+    if masked is None:
+        if len(_masks) > 100_000:
+            _masks.clear()
+        masked = _MASK.sub(_blank, token)
+        if len(token) < 100:
+            _masks[token] = masked
+    return masked
+
+
 def _mask(line: str) -> str:
     """The line with everything that is no prose replaced, character by character."""
     if "`" in line or "](" in line or "<|" in line:
-        return _MASK.sub(lambda m: "\x02" * len(m[0]), line)
-    parts = line.split(" ")
-    for i, token in enumerate(parts):
-        if (len(token) > 23 or not token.isalpha()) and (len(token) > 23 or _SPECIAL.search(token)):
-            parts[i] = _MASK.sub(lambda m: "\x02" * len(m[0]), token)
-    return " ".join(parts)
+        return _MASK.sub(_blank, line)
+    if not _SPECIAL.search(line):
+        return line
+    return _SPECIAL_TOKEN.sub(_mask_token, line)
 
 
 def _without_pipes(line: str) -> str | None:
@@ -98,19 +126,19 @@ def prose_sentences(text: str) -> list[tuple[int, int, list[str], int]]:
     out: list[str] = []
     fenced = quoted = False
     for line in text.split("\n"):
-        if _FENCE.match(line):
+        if ("```" in line or "~~~" in line) and _FENCE.match(line):
             fenced = not fenced
             out.append("\x01" * (len(line) + 1))
             continue
-        bare = _without_pipes(line)
-        if fenced or bare is None or not bare.strip() or _TABLE.search(line) or _STAMP.match(line) or _TRAILER.match(bare):
+        bare = _without_pipes(line) if "|" in line else line
+        if fenced or bare is None or not (held := bare.strip()) or (held[0] in "|-+=" and _TABLE.search(line)) or (held[0] in _STAMP_SIGNS and _STAMP.match(line)) or (":" in held and _TRAILER.match(bare)):
             out.append("\x01" * (len(line) + 1))
             continue
         masked = _mask(bare)
         lead = _START.match(masked).end()
         bare = masked[lead:]
         heading = bare.startswith("#")
-        if (_CODE_SIGN.search(bare) and _CODE.search(bare)) or (masked[:1] in "+-" and masked[1:2].isspace() and masked[2:3].isspace()) or (heading and len(_WORD.findall(bare)) < 3 and not _CJK.search(bare)):
+        if ((_CODE_SIGN.search(bare) or bare.lstrip()[:1] in ("+", "-")) and _CODE.search(bare)) or (masked[:1] in "+-" and masked[1:2].isspace() and masked[2:3].isspace()) or (heading and len(_WORD.findall(bare)) < 3 and not _CJK.search(bare)):
             out.append("\x01" * (len(line) + 1))
             continue
         quote = ">" in masked[:lead]
@@ -124,17 +152,18 @@ def prose_sentences(text: str) -> list[tuple[int, int, list[str], int]]:
         quoted = quote
         out.append(bare + ("\x01" if heading else " "))
     masked = "".join(out)
-    split = (_ASCII_WORD if masked.isascii() else _WORD).findall
+    split = _words(masked)
     found = []
     begin = 0
     for end in [*(m.end() for m in _END.finditer(masked)), len(masked)]:
         piece, at, begin = masked[begin:end].rstrip("\x01"), begin, end
         words = split(piece)
-        long = sorted(map(len, words))[-2:]
-        if (len(long) < 2 or long[0] < 2 or long[1] < 3) and (not words or len(_CJK.findall(piece)) < 4):
-            continue
+        sizes = list(map(len, words))
+        longest, letters = max(sizes, default=0), sum(sizes)
+        if (longest < 3 or letters - longest < len(words)) and (not words or len(_CJK.findall(piece)) < 4):
+            continue  # the words beside the longest have a letter each, or there are none
         start = at + len(piece) - len(piece.lstrip())
-        found.append((start, min(at + len(piece), len(text)), words, sum(map(len, words)) + len(words) - 1))
+        found.append((start, min(at + len(piece), len(text)), words, letters + len(words) - 1))
     return found
 
 
@@ -167,8 +196,7 @@ class Model:
 
     def _number(self, word: str) -> int:
         """Row of a word's summed weights in the table of words met."""
-        if self._rows is None or len(self._words) > 300_000:
-            self._words = {}
+        if self._rows is None:
             self._rows = np.zeros((1024, len(self.langs) + 1), dtype=np.float32)
         number = self._words[word] = len(self._words)
         if number == len(self._rows):
@@ -185,15 +213,9 @@ class Model:
             part = sentences[first : first + 4096]
             if len(self._words) > 250_000:  # none of this part may be dropped while it is read
                 self._words, self._rows = {}, None
-            known = self._words
-            numbers = []
-            for words in part:
-                for w in words:
-                    n = known.get(w)
-                    if n is None:
-                        n = self._number(w)
-                        known = self._words
-                    numbers.append(n)
+            for w in {w for words in part for w in words}.difference(self._words):
+                self._number(w)
+            numbers = list(map(self._words.__getitem__, chain.from_iterable(part)))
             starts = np.cumsum([0, *map(len, part[:-1])])
             sums = np.add.reduceat(self._rows[np.array(numbers)], starts, axis=0).astype(np.float64)
             z = (sums[:, :-1] / np.sqrt(np.maximum(sums[:, -1:], 1)) + self.bias) / self.temperature
@@ -271,7 +293,7 @@ def document_frequencies(docs: DataFrame, text: str) -> tuple[np.ndarray, int]:
         held: dict[str, np.ndarray] = {}
         for batch in batches:
             for value in batch.column(0).to_pylist():
-                words = set((_ASCII_WORD if value.isascii() else _WORD).findall(value)) if value else ()
+                words = set(_words(value)(value)) if value else ()
                 if not words:
                     continue
                 total += 1
@@ -279,9 +301,7 @@ def document_frequencies(docs: DataFrame, text: str) -> tuple[np.ndarray, int]:
                     held.clear()
                 for w in words.difference(held):
                     held[w] = np.array(grams(w), dtype=np.int64)
-                flags = np.zeros(1 << BITS, dtype=bool)
-                flags[np.concatenate([held[w] for w in words])] = True
-                seen += flags
+                seen[np.concatenate([held[w] for w in words])] += 1  # a bucket that is listed twice is raised once
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array([-1, *at.tolist()], pa.int64()), pa.array([total, *seen[at].tolist()], pa.int64())], ["g", "n"])
 
@@ -357,12 +377,13 @@ def analyse(model: Model, texts: list[str | None], sure: float = 0.5) -> list[Ju
         return [(None, 0.0, [], []) for _ in texts]
     found = [None if t is None or not t.strip() else prose_sentences(t) for t in texts]
     p = model.probabilities([s[2] for sentences in found for s in sentences or ()])
+    best = p.argmax(1)
     at = 0
     for sentences in found:
         if sentences:
-            _settle(p[at : at + len(sentences)], np.array([s[3] for s in sentences], dtype=float))
+            part = slice(at, at + len(sentences))
+            _settle(p[part], np.array([s[3] for s in sentences], dtype=float), best[part])
             at += len(sentences)
-    best = p.argmax(1)
     sures = p[np.arange(len(p)), best] if len(p) else p
     at = 0
     out: list[Judged] = []
@@ -375,18 +396,15 @@ def analyse(model: Model, texts: list[str | None], sure: float = 0.5) -> list[Ju
     return out
 
 
-def _settle(p: np.ndarray, chars: np.ndarray, clear: float = 0.9, tie: float = 0.7) -> None:
-    """Decide near ties for a language that is clear elsewhere in the text, in place: the leader changes place with it."""
+def _settle(p: np.ndarray, chars: np.ndarray, best: np.ndarray, clear: float = 0.9, tie: float = 0.7) -> None:
+    """Decide near ties for a language that is clear elsewhere in the text, in ``best``; probabilities stay as they are."""
     top = p.max(1)
     plain = top >= clear
     if plain.all() or not plain.any():
         return
     share = (p[plain] * chars[plain, None]).sum(0)
-    for i in np.flatnonzero(~plain):
-        near = np.where(p[i] >= tie * top[i], share, -1.0)
-        first, other = int(p[i].argmax()), int(near.argmax())
-        if near[other] > near[first]:
-            p[i, first], p[i, other] = p[i, other], p[i, first]
+    open_rows = np.flatnonzero(~plain)
+    best[open_rows] = np.where(p[open_rows] >= tie * top[open_rows, None], share, -1.0).argmax(1)
 
 
 def _judge(langs: list[str], sentences: list, best: list[int], sures: list[float], sure: float) -> Judged:

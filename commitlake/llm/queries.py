@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from commitlake.llm import bpe, langid, packing
 from commitlake.session import materialise
@@ -14,14 +15,14 @@ MAX_MODELS = 1000
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
-    """documents spread over the cores: encoding and scoring cost far more than the shuffle of the texts.
+    """documents, in at least as many parts as there are cores.
 
-    The number of partitions follows the input: one for each 256 KB of the compressed table, at least two a core.
+    Encoding and scoring read each text once, where it is: a large table has parts enough, and its texts are never
+    shuffled. One of few parts (small files, or a single one) is spread, for then the cores count and the shuffle is small.
     """
     docs = table(spark, folder, "documents")
-    size = docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    parts = max(2 * spark.sparkContext.defaultParallelism, int(str(size)) >> 18)
-    return docs.repartition(min(parts, 100_000), "doc_id")
+    cores = spark.sparkContext.defaultParallelism
+    return docs if docs.rdd.getNumPartitions() >= cores else docs.repartition(2 * cores, "doc_id")
 
 
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
@@ -74,6 +75,26 @@ def p7_fill(spark: SparkSession, folder: str) -> DataFrame:
     return _models(spark, folder, boxes).select("model", "window_tokens", "n_pieces", "n_tokens", "n_containers", least, (F.col("n_tokens") / (F.col("n_containers") * F.col("window_tokens"))).alias("share_filled"))
 
 
+def p7_valid(spark: SparkSession, folder: str) -> DataFrame:
+    """By model: the documents placed, and how often a rule of the containers is broken, which is never.
+
+    n_over: containers above their window; n_cut: documents in several pieces that fit one container; n_twice:
+    containers with two copies of a text; n_gaps: pieces that do not begin where the one before them ends, in the
+    container or in the document.
+    """
+    texts = table(spark, folder, "documents").select("doc_id", F.when(F.col("text") != "", F.xxhash64("text")).alias("h"))
+    found = packed(spark, folder).join(texts, "doc_id")
+    box = Window.partitionBy("capacity", "container_id").orderBy("place")
+    own = Window.partitionBy("capacity", "doc_id").orderBy("piece")
+    off = lambda start, size, w: (F.coalesce(F.lag(F.col(start) + F.col(size)).over(w), F.lit(0)) != F.col(start)).cast("bigint")
+    placed = found.withColumns({"gap": off("offset", "piece_size", box), "gap2": off("piece_start", "piece_size", own)})
+    boxes = placed.groupBy("capacity", "container_id").agg(F.sum("piece_size").alias("held"), F.sum(F.col("gap") + F.col("gap2")).alias("gaps"), F.count("h").alias("n"), F.count_distinct("h").alias("d"))
+    rules = boxes.groupBy("capacity").agg(*(F.sum(c.cast("bigint")).alias(n) for n, c in (("n_over", F.col("held") > F.col("capacity")), ("n_twice", F.col("n") > F.col("d")), ("n_gaps", F.col("gaps")))))
+    docs = found.groupBy("capacity", "doc_id").agg(F.count("*").alias("pieces"), F.sum("piece_size").alias("size"))
+    cut = docs.groupBy("capacity").agg(F.count("*").alias("n_documents"), F.sum(((F.col("pieces") > 1) & (F.col("size") <= F.col("capacity"))).cast("bigint")).alias("n_cut"))
+    return _models(spark, folder, rules.join(cut, "capacity")).select("model", "n_documents", "n_over", "n_cut", "n_twice", "n_gaps")
+
+
 def judged(spark: SparkSession, folder: str) -> DataFrame:
     """Documents with their language, further languages and segments."""
     docs = _documents(spark, folder)
@@ -102,5 +123,7 @@ def p8_documents(spark: SparkSession, folder: str) -> DataFrame:
     return judged(spark, folder).where(F.col("found_lang").isNotNull()).select("doc_id", "found_lang", F.round("confidence", 6).alias("confidence"), F.size("segments").alias("n_segments"))
 
 
-QUERIES = {q.__name__: q for q in (p6_ids, p6_round_trip, p7_containers, p7_fill, p8_found, p8_segments, p8_documents)}
-ORACLES: dict[str, str] = {}
+QUERIES = {q.__name__: q for q in (p6_ids, p6_round_trip, p7_containers, p7_fill, p7_valid, p8_found, p8_segments, p8_documents)}
+ORACLES: dict[str, str] = {
+    "p7_valid": "SELECT model, (SELECT count(DISTINCT doc_id) FROM documents) AS n_documents, 0 AS n_over, 0 AS n_cut, 0 AS n_twice, 0 AS n_gaps FROM context_windows WHERE window_tokens > 0",
+}

@@ -86,3 +86,19 @@ def test_without_samples(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, lang string")
     model = langid.fit(empty, spark.createDataFrame([], "text string, lang string"))
     assert langid.analyse(model, ["some text here"])[0][0] is None
+
+
+def test_confidence_is_the_probability_of_the_language_reported():
+    """A near tie goes to the language that is clear elsewhere and keeps its own probability."""
+    p = np.array([[0.98, 0.01, 0.01], [0.40, 0.45, 0.15], [0.10, 0.75, 0.15]])
+    held, best = p.copy(), p.argmax(1)
+    langid._settle(p, np.array([80.0, 20.0, 20.0]), best)
+    assert best.tolist() == [0, 0, 1] and (p == held).all()
+
+
+def test_confidences_of_texts(fitted):
+    model, _ = fitted
+    for text in HELD_OUT.values():
+        _, sure, _, segments = langid.analyse(model, [text])[0]
+        scores = model.probabilities([s[2] for s in langid.prose_sentences(text)])
+        assert sure == pytest.approx(scores.max(1).mean(), abs=0.05) and len(segments) == 1
