@@ -61,7 +61,7 @@ _ADDED = "source string, session string, model string, day string, input bigint,
 def cumulative_increase(snapshots: DataFrame) -> DataFrame:
     """What every cumulative snapshot adds: source, session, model, day, counters, turns, state.
 
-    ``snapshots``: source, session, model, at (bigint, the order), day, the four counters, calls (NULL where not
+    ``snapshots``: source, session, model, at (the order, of any type that has one), day, the four counters, calls (NULL where not
     reported), valid (false: contradicts itself). State is added; stale (nothing grew, nothing is added); broken (some
     grew, others fell), undated or invalid, which leave what was seen unchanged. A chain of one (session, model) is
     folded in a streaming pass over its sorted rows: the state is one snapshot, so a chain may be of any length.
@@ -95,7 +95,7 @@ def cumulative_increase(snapshots: DataFrame) -> DataFrame:
 
     keys = ["source", "session", "model"]
     ready = snapshots.select(*keys, "at", F.coalesce("day", F.lit("")).alias("day"), *(F.coalesce(c, F.lit(0)).alias(c) for c in COUNTERS), "calls", "valid")
-    return ready.repartition(*keys).sortWithinPartitions(*keys, "at").mapInPandas(fold, _ADDED)
+    return ready.repartition(*keys).sortWithinPartitions(*keys, "at").drop("at").mapInPandas(fold, _ADDED)
 
 
 def source_series(totals_: DataFrame, commits: DataFrame) -> DataFrame:

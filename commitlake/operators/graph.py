@@ -9,16 +9,16 @@ from commitlake.operators.attribution import pr_number
 from commitlake.session import materialise
 
 
-def main_line(commits: DataFrame) -> DataFrame:
-    """pos of the commits on the first-parent chain from the tip (the last pos), by pointer doubling.
+def main_line(commits: DataFrame, tip: DataFrame | None = None) -> DataFrame:
+    """pos of the commits on the first-parent chain from the tip, by pointer doubling.
 
-    ``commits``: pos, parents (array of pos). Parents outside of the history are dropped before the first is taken.
+    ``commits``: pos, parents (array of pos). ``tip``: one row with the tip's pos; without it the last pos is the tip. Parents outside of the history are dropped before the first is taken.
     Jumps double in each round, and with them the part of the chain that has been reached, so a chain of n commits
     takes log2(n) rounds and no row holds more than one commit.
     """
     first = _links(commits).groupBy("pos").agg(F.min(F.struct("place", "parent")).alias("p")).select("pos", F.col("p.parent").alias("parent"))
     jumps = materialise(first, "jumps")
-    reached = commits.agg(F.max("pos").cast("bigint").alias("pos")).where("pos IS NOT NULL")
+    reached = (commits.agg(F.max("pos").alias("pos")) if tip is None else tip).select(F.col("pos").cast("bigint").alias("pos")).where("pos IS NOT NULL")
     while not jumps.isEmpty():
         reached = materialise(reached.unionByName(reached.join(jumps, "pos").select(F.col("parent").alias("pos"))), "reached")
         onward = jumps.select(F.col("pos").alias("parent"), F.col("parent").alias("further"))
@@ -32,41 +32,51 @@ def _links(commits: DataFrame) -> DataFrame:
     return rows.join(commits.select(F.col("pos").alias("parent")), "parent", "left_semi").select("pos", "place", F.col("parent").cast("bigint").alias("parent"))
 
 
-def owners(commits: DataFrame) -> DataFrame:
+def owners(commits: DataFrame, tip: DataFrame | None = None) -> DataFrame:
     """pos, owner: the earliest commit of the main line that reaches a commit; main-line commits own themselves.
 
-    Labels go from the main line to parents, one generation a round; only commits whose label has just fallen go on,
-    so a round costs its frontier. Rounds are as many as the longest side branch has commits.
+    A commit off the line is owned by the least of the owners of its children. Commits with one child off the line jump
+    down, 1, 2, 4, 8 … generations, and take over the owner met there, so a side branch of n commits takes log2(n)
+    rounds; those with several ask all of these in every round, so only forks within side branches cost rounds.
     """
     links = materialise(_links(commits), "links")
-    chain = main_line(commits).select("pos", F.col("pos").alias("owner"))
-    known = materialise(chain.withColumn("fixed", F.lit(True)), "owners")
-    frontier = known
+    chain = materialise(main_line(commits, tip), "main-line")
+    off = links.join(chain.select(F.col("pos").alias("parent")), "parent", "left_anti").select(F.col("parent").alias("pos"), F.col("pos").alias("child"))
+    below = materialise(off.join(chain.select(F.col("pos").alias("child"), F.lit(True).alias("on_line")), "child", "left"), "below")
+    downs = below.where("on_line IS NULL").groupBy("pos").agg(F.count("*").alias("n"), F.min("child").alias("child"))
+    known = materialise(below.where("on_line").groupBy("pos").agg(F.min("child").alias("owner")), "owners")
+    forks = materialise(below.where("on_line IS NULL").join(downs.where("n > 1").select("pos"), "pos", "left_semi").select("pos", "child"), "forks")
+    jumps = materialise(downs.where("n = 1").select("pos", "child"), "jumps")
+    forked, longest = not forks.isEmpty(), jumps
     while True:
-        reached = frontier.join(links, "pos").groupBy(F.col("parent").alias("pos")).agg(F.min("owner").alias("owner"))
-        had = known.select("pos", F.col("owner").alias("had"), "fixed")
-        better = reached.join(had, "pos", "left").where("had IS NULL OR (NOT fixed AND owner < had)")
-        fresh = materialise(better.select("pos", "owner", F.lit(False).alias("fixed")), "frontier")
-        if fresh.isEmpty():
-            return known.select("pos", "owner")
-        known = materialise(known.join(fresh.select("pos"), "pos", "left_anti").unionByName(fresh), "owners")
-        frontier = fresh
-
-
-def pr_members(commits: DataFrame) -> DataFrame:
+        ways = jumps.unionByName(forks) if forked else longest
+        reach = ways.join(known.select(F.col("pos").alias("child"), "owner"), "child").select("pos", "owner")
+        now = materialise(known.unionByName(reach).groupBy("pos").agg(F.min("owner").alias("owner")), "owners")
+        rest = now.join(known.withColumnRenamed("owner", "had"), "pos", "left").where("had IS NULL OR owner < had")
+        onward = longest.select(F.col("pos").alias("child"), F.col("child").alias("further"))
+        longer = materialise(longest.join(onward, "child").select("pos", F.col("further").alias("child")), "jumps")
+        if longer.isEmpty() and rest.isEmpty():
+            return chain.select("pos", F.col("pos").alias("owner")).unionByName(now)
+        known = now
+        if not longer.isEmpty():
+            longest = longer
+            jumps = jumps.unionByName(longer) if forked else longer
+
+
+def pr_members(commits: DataFrame, tip: DataFrame | None = None) -> DataFrame:
     """merge_pos, pos: the commits that each merge of the main line brought in."""
     merges = _links(commits).groupBy("pos").count().where("count > 1").select(F.col("pos").alias("merge_pos"))
-    mine = owners(commits).where("owner <> pos").select(F.col("owner").alias("merge_pos"), "pos")
+    mine = owners(commits, tip).where("owner <> pos").select(F.col("owner").alias("merge_pos"), "pos")
     return mine.join(merges, "merge_pos", "left_semi")
 
 
-def assign_prs(commits: DataFrame) -> DataFrame:
+def assign_prs(commits: DataFrame, tip: DataFrame | None = None) -> DataFrame:
     """pos, pr: the number in the own subject, else that of the merge that brought the commit in.
 
     ``commits``: pos, parents, message.
     """
     own = commits.select("pos", pr_number(F.col("message")).alias("own"))
-    brought = pr_members(commits).join(own.select(F.col("pos").alias("merge_pos"), F.col("own").alias("merged")), "merge_pos").select("pos", "merged")
+    brought = pr_members(commits, tip).join(own.select(F.col("pos").alias("merge_pos"), F.col("own").alias("merged")), "merge_pos").select("pos", "merged")
     return own.join(brought, "pos", "left").select("pos", F.coalesce("own", "merged").alias("pr"))
 
 

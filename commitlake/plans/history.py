@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +14,7 @@ from commitlake.functions.protobuf import field_bytes, field_number, proto_field
 from commitlake.operators import archive, attribution, classify, documents, graph, lines, page
 from commitlake.plans.problems import normal_stamps
 from commitlake.plans.views import dag, view, with_views
-from commitlake.session import materialise
+from commitlake.session import materialise, utc
 from commitlake.sources import agents
 from commitlake.sources.tables import table
 
@@ -28,10 +28,15 @@ def query(sql: str | None = None):
     """Register a query under its function's name, with the SQL that gives the same rows."""
 
     def add(function: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-        QUERIES[function.__name__] = function
+        @wraps(function)
+        def in_utc(spark: SparkSession, folder: str) -> DataFrame:
+            with utc(spark):
+                return function(spark, folder)
+
+        QUERIES[function.__name__] = in_utc
         if sql:
             ORACLES[function.__name__] = sql
-        return function
+        return in_utc
 
     return add
 
@@ -250,18 +255,17 @@ _MEMBERS = "tip AS (SELECT max(pos) AS t FROM commits), members AS (SELECT pos +
 
 @query(f"{with_views('commits')}, {_MEMBERS} SELECT CAST(merge_pos AS BIGINT) AS merge_pos, pos FROM members")
 def pr_members(spark: SparkSession, folder: str) -> DataFrame:
-    return graph.pr_members(_history(spark, folder))
+    return graph.pr_members(dag(spark, folder), _tip(spark, folder))
 
 
-def _history(spark: SparkSession, folder: str) -> DataFrame:
-    """The graph, ended at the last commit of the main line so that its tip is one."""
-    commits = dag(spark, folder)
-    return commits.join(commits.where("NOT off_line").agg(F.max("pos").alias("tip")), F.col("pos") <= F.col("tip")).drop("tip")
+def _tip(spark: SparkSession, folder: str) -> DataFrame:
+    """The tip of the branch looked at: the last commit of the main line. Commits behind it are on branches not merged."""
+    return dag(spark, folder).where("NOT off_line").agg(F.max("pos").alias("pos"))
 
 
-@query(f"{with_views('commits')}, {_MEMBERS}, own AS (SELECT pos, {_PR} AS pr FROM commits WHERE pos > 0), last AS (SELECT max(pos) AS l FROM commits WHERE pos % 41 <= 20) SELECT o.pos, coalesce(o.pr, m.pr) AS pr FROM own o JOIN last ON o.pos <= l LEFT JOIN members b ON b.pos = o.pos LEFT JOIN own m ON m.pos = b.merge_pos")
+@query(f"{with_views('commits')}, {_MEMBERS}, own AS (SELECT pos, {_PR} AS pr FROM commits WHERE pos > 0) SELECT o.pos, coalesce(o.pr, m.pr) AS pr FROM own o LEFT JOIN members b ON b.pos = o.pos LEFT JOIN own m ON m.pos = b.merge_pos")
 def assign_prs(spark: SparkSession, folder: str) -> DataFrame:
-    return graph.assign_prs(_history(spark, folder))
+    return graph.assign_prs(dag(spark, folder), _tip(spark, folder))
 
 
 @query(f"{with_views('commits')} SELECT coalesce(c.agent, CASE WHEN c.pos IS NULL THEN 'unattributed' ELSE 'human' END) AS agent, CAST(sum(l_linenumber) AS BIGINT) AS lines FROM lineitem l LEFT JOIN commits c ON c.pos = l.l_orderkey + 7 GROUP BY 1")
@@ -309,7 +313,7 @@ def top_model(spark: SparkSession, folder: str) -> DataFrame:
     return archive.top_model(archive_by_day_model(spark, folder))
 
 
-_SERIES = f"""held AS (SELECT * FROM totals WHERE CAST(right(day, 2) AS INT) > 10),
+_SERIES = f"""held AS (SELECT * FROM totals),
     mine AS (SELECT c.pos, {_SOURCE} AS source, utc_day AS day, h.churn FROM commits c JOIN churn h ON h.pos = c.pos WHERE agent <> '' AND agent <> 'Misc'),
     worked AS (SELECT source, day, sum(churn) AS churn FROM mine WHERE source IN (SELECT source FROM held) GROUP BY 1, 2),
     both_ AS (SELECT coalesce(t.source, w.source) AS source, coalesce(t.day, w.day) AS day, t.tokens, w.churn FROM held t FULL JOIN worked w ON w.source = t.source AND w.day = t.day),
@@ -323,34 +327,29 @@ def _worked(spark: SparkSession, folder: str) -> DataFrame:
     return materialise(view(spark, folder, "commits").join(churn_per_commit(spark, folder), "pos"), "worked")
 
 
-def _late_totals(spark: SparkSession, folder: str) -> DataFrame:
-    """Totals after the tenth of the month, so that some days are left to estimate."""
-    return source_totals(spark, folder).where(F.substring("day", 9, 2).cast("int") > 10)
-
-
 @query(f"{_ALL} SELECT * FROM series")
-def source_series(spark: SparkSession, folder: str, totals: Callable[[SparkSession, str], DataFrame] = _late_totals) -> DataFrame:
-    return archive.source_series(totals(spark, folder), _worked(spark, folder))
+def source_series(spark: SparkSession, folder: str) -> DataFrame:
+    return archive.source_series(source_totals(spark, folder), _worked(spark, folder))
 
 
 @query(f"{_ALL} SELECT day, CAST(sum(tokens) AS BIGINT) AS tokens, CASE WHEN max(kind = 'e') THEN 'e' ELSE 'm' END AS kind FROM series GROUP BY 1".replace("max(kind = 'e')", "bool_or(kind = 'e')"))
-def token_per_day_combined(spark: SparkSession, folder: str, totals: Callable[[SparkSession, str], DataFrame] = _late_totals) -> DataFrame:
-    return archive.combined_series(source_series(spark, folder, totals))
+def token_per_day_combined(spark: SparkSession, folder: str) -> DataFrame:
+    return archive.combined_series(source_series(spark, folder))
 
 
 _SHARES = "shares AS (SELECT m.pos, m.source, CAST(round_even(CAST(s.tokens * m.churn AS DOUBLE) / sum(m.churn) OVER (PARTITION BY m.source, m.day), 0) AS BIGINT) AS tokens, s.kind FROM mine m JOIN series s ON s.source = m.source AND s.day = m.day WHERE m.churn > 0)"
 
 
 @query(f"{_ALL}, {_SHARES} SELECT * FROM shares")
-def commit_shares(spark: SparkSession, folder: str, totals: Callable[[SparkSession, str], DataFrame] = _late_totals) -> DataFrame:
+def commit_shares(spark: SparkSession, folder: str) -> DataFrame:
     """Tokens of each AI commit, measured or estimated."""
     worked = _worked(spark, folder)
-    return archive.commit_shares(archive.source_series(totals(spark, folder), worked), worked)
+    return archive.commit_shares(archive.source_series(source_totals(spark, folder), worked), worked)
 
 
 @query(f"{_ALL}, {_SHARES} SELECT pos, CAST(sum(tokens) AS BIGINT) AS tokens, max(kind) AS kind FROM shares GROUP BY 1")
-def tokens_by_commit(spark: SparkSession, folder: str, totals: Callable[[SparkSession, str], DataFrame] = _late_totals) -> DataFrame:
-    return commit_shares(spark, folder, totals).groupBy("pos").agg(F.sum("tokens").cast("bigint").alias("tokens"), F.max("kind").alias("kind"))
+def tokens_by_commit(spark: SparkSession, folder: str) -> DataFrame:
+    return commit_shares(spark, folder).groupBy("pos").agg(F.sum("tokens").cast("bigint").alias("tokens"), F.max("kind").alias("kind"))
 
 
 @query(
@@ -358,14 +357,9 @@ def tokens_by_commit(spark: SparkSession, folder: str, totals: Callable[[SparkSe
     "covered AS (SELECT m.source, CAST(sum(churn) AS BIGINT) AS covered_churn FROM mine m JOIN series s ON s.source = m.source AND s.day = m.day AND s.kind = 'm' GROUP BY 1), top AS (SELECT source, model FROM (SELECT source, model, sum(input + output + cache_read + cache_write) AS t FROM days GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY source ORDER BY t DESC, model) = 1) "
     "SELECT s.*, coalesce(covered_churn, 0) AS covered_churn, model AS top_model FROM sums s LEFT JOIN covered c USING (source) LEFT JOIN top USING (source)"
 )
-def source_summary(spark: SparkSession, folder: str, totals: Callable[[SparkSession, str], DataFrame] = _late_totals) -> DataFrame:
+def source_summary(spark: SparkSession, folder: str) -> DataFrame:
     worked = _worked(spark, folder)
-    return archive.source_summary(archive.source_series(totals(spark, folder), worked), archive_by_day_model(spark, folder), worked)
-
-
-for _of in (source_series, token_per_day_combined, commit_shares, tokens_by_commit, source_summary):  # the same over all measured totals
-    QUERIES[f"{_of.__name__}_all"] = partial(_of, totals=source_totals)
-    ORACLES[f"{_of.__name__}_all"] = ORACLES[_of.__name__].replace(" WHERE CAST(right(day, 2) AS INT) > 10", "")
+    return archive.source_summary(archive.source_series(source_totals(spark, folder), worked), archive_by_day_model(spark, folder), worked)
 
 
 @query("SELECT event_id, last_value(CASE WHEN event_id % 5 = 0 THEN event_type END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS model FROM events")
@@ -387,15 +381,19 @@ def day_ms(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "message").select("row_id", U.day_ms(F.col("time_updated")).alias("day"))
 
 
-@query("SELECT row_id, CASE WHEN created_at IS NULL OR NOT regexp_matches(created_at, '^\\d{4}-\\d{2}-\\d{2}') THEN '' ELSE left(created_at, 10) END AS day FROM assistant_usage_events WHERE created_at IS NULL OR regexp_matches(created_at, 'Z$') OR NOT regexp_matches(created_at, '^\\d{4}-')")
-def utc_day(spark: SparkSession, folder: str) -> DataFrame:
-    kept = table(spark, folder, "assistant_usage_events").where("created_at IS NULL OR created_at LIKE '%Z' OR NOT created_at RLIKE '^[0-9]{4}-'")
-    return kept.select("row_id", F.coalesce(U.utc_day(F.col("created_at")), F.lit("")).alias("day"))
+def _day_sql(c: str) -> str:
+    """UTC day of a stamp: with a numeric offset moved by it, else its first ten characters; '' for no ISO date."""
+    offset = f"(CASE WHEN regexp_extract({c}, '([+-])\\d{{2}}(:?\\d{{2}})?$', 1) = '-' THEN -1 ELSE 1 END * (CAST(regexp_extract({c}, '[+-](\\d{{2}})(:?\\d{{2}})?$', 1) AS INT) * 60 + coalesce(TRY_CAST(regexp_extract({c}, '[+-]\\d{{2}}:?(\\d{{2}})$', 1) AS INT), 0)))"
+    moved = f"strftime(TRY_CAST(replace(left({c}, 16), 'T', ' ') || ':00' AS TIMESTAMP) - to_minutes({offset}), '%Y-%m-%d')"
+    return (
+        f"CASE WHEN {c} IS NULL OR NOT regexp_matches({c}, '^\\d{{4}}-\\d{{2}}-\\d{{2}}') THEN '' "
+        f"WHEN regexp_matches({c}, '^\\d{{4}}-\\d{{2}}-\\d{{2}}[T ]\\d{{2}}:\\d{{2}}(:\\d{{2}}(\\.\\d+)?)? ?[+-]\\d{{2}}(:?\\d{{2}})?$') THEN coalesce({moved}, left({c}, 10)) ELSE left({c}, 10) END"
+    )
 
 
-@query()
-def utc_day_all(spark: SparkSession, folder: str) -> DataFrame:
-    """UTC day of every usage event, stamps with an offset or without zone too, which the SQL of utc_day leaves out."""
+@query(f"SELECT row_id, {_day_sql('created_at')} AS day FROM assistant_usage_events")
+def utc_day(spark: SparkSession, folder: str) -> DataFrame:
+    """UTC day of every usage event."""
     return table(spark, folder, "assistant_usage_events").select("row_id", U.utc_day(F.coalesce("created_at", F.lit(""))).alias("day"))
 
 
@@ -434,19 +432,52 @@ def cumulative_states(spark: SparkSession, folder: str) -> DataFrame:
     return states.groupBy("state").agg(F.count("*").alias("n_snapshots"), F.sum("turns").cast("bigint").alias("turns"))
 
 
-@query(
-    "WITH l AS (SELECT file_path, line_no, arg_min(raw, row_id) AS j FROM codex_lines GROUP BY 1, 2), v AS (SELECT * FROM l WHERE json_valid(j)), h AS (SELECT file_path FROM v QUALIFY row_number() OVER (PARTITION BY file_path ORDER BY line_no) = 1 AND json_extract_string(j, '$.type') = 'session_meta'), "
-    "r AS (SELECT file_path, line_no, nullif(json_extract_string(j, '$.payload.response_id'), '') AS k, j FROM v JOIN h USING (file_path) WHERE json_extract_string(j, '$.type') = 'token_usage_record'), "
-    "f AS (SELECT * FROM r WHERE k IS NULL UNION ALL SELECT * FROM r WHERE k IS NOT NULL QUALIFY row_number() OVER (PARTITION BY k ORDER BY file_path, line_no) = 1), "
-    "n AS (SELECT k, coalesce(CAST(j->'$.payload.usage.input_tokens' AS BIGINT), 0) AS i, coalesce(CAST(j->'$.payload.usage.output_tokens' AS BIGINT), 0) AS o, coalesce(CAST(j->'$.payload.usage.cached_input_tokens' AS BIGINT), 0) AS r, coalesce(CAST(j->'$.payload.usage.cache_write_input_tokens' AS BIGINT), 0) AS w FROM f) "
-    "SELECT k AS call_key, greatest(0, i - r - w) AS input, greatest(0, o) AS output, greatest(0, r) AS cache_read, greatest(0, w) AS cache_write FROM n WHERE k IS NOT NULL"
-)
-def codex_records(spark: SparkSession, folder: str) -> DataFrame:
-    """Usage records of the rollouts, once by response id."""
-    return agents.codex_calls(table(spark, folder, "codex_lines")).where("call_key IS NOT NULL").select("call_key", *U.COUNTERS)
+_KEPT = ("input_tokens", "cached_input_tokens", "output_tokens", "reasoning_output_tokens", "total_tokens", "cache_write_input_tokens")
 
 
-@query()
+def _int_sql(j: str, path: str) -> str:
+    return f"CASE WHEN json_type({j}, '$.{path}') IN ('UBIGINT', 'BIGINT') THEN CAST(json_extract_string({j}, '$.{path}') AS BIGINT) END"
+
+
+def _tally_sql(path: str) -> str:
+    """A struct of counters as one text; NULL where none is an integer."""
+    cells = ", ".join(f"coalesce(CAST({_int_sql('j', f'{path}.{c}')} AS VARCHAR), '-')" for c in _KEPT)
+    return f"nullif(concat_ws('|', {cells}), '{'|'.join('-' * len(_KEPT))}')"
+
+
+_USED = ", ".join(f"coalesce({_int_sql('j', f'payload.usage.{c}')}, {_int_sql('j', f'payload.info.last_token_usage.{c}')}, 0) AS {n}" for c, n in zip(("input_tokens", "output_tokens", "cached_input_tokens", "cache_write_input_tokens"), "iorw", strict=True))
+_UUID7 = "'^[0-9a-f]{8}-[0-9a-f]{4}-7[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$'"
+_CODEX_CALLS = f"""WITH l AS (SELECT file_path, line_no, CASE WHEN json_valid(raw) AND json_type(raw) = 'OBJECT' THEN raw END AS j FROM codex_lines QUALIFY row_number() OVER (PARTITION BY file_path, line_no ORDER BY row_id) = 1),
+    x AS (SELECT file_path, line_no, json_extract_string(j, '$.type') AS kind, coalesce(json_extract_string(j, '$.timestamp'), '') AS stamp, nullif(json_extract_string(j, '$.payload.id'), '') AS id, nullif(json_extract_string(j, '$.payload.forked_from_id'), '') AS parent,
+        json_extract_string(j, '$.payload.type') AS ptype, nullif(json_extract_string(j, '$.payload.response_id'), '') AS call_key, nullif(json_extract_string(j, '$.payload.turn_id'), '') AS turn, nullif(json_extract_string(j, '$.payload.model'), '') AS named,
+        {_tally_sql('payload.info.total_token_usage')} AS total, {_tally_sql('payload.info.last_token_usage')} AS last, {_USED} FROM l),
+    h AS (SELECT * FROM (SELECT file_path, kind, id AS session, parent AS forked_from FROM x QUALIFY row_number() OVER (PARTITION BY file_path ORDER BY line_no) = 1) WHERE kind = 'session_meta'),
+    m AS (SELECT x.*, session, forked_from, x.kind = 'token_usage_record' AS is_record, coalesce(x.kind = 'event_msg' AND ptype = 'token_count' AND total IS NOT NULL AND last IS NOT NULL, false) AS is_event FROM x JOIN h USING (file_path)),
+    w AS (SELECT *, last_value(CASE WHEN kind = 'turn_context' THEN named END IGNORE NULLS) OVER (PARTITION BY file_path ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS last_model,
+        last_value(CASE WHEN is_event THEN total END IGNORE NULLS) OVER (PARTITION BY file_path ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before,
+        max(CASE WHEN kind = 'turn_context' AND regexp_matches(turn, {_UUID7}) THEN turn END) OVER (PARTITION BY file_path ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS latest,
+        min(CASE WHEN is_record THEN line_no END) OVER (PARTITION BY file_path) AS first_record FROM m),
+    t AS (SELECT file_path, turn, named AS of_turn FROM m WHERE kind = 'turn_context' AND turn IS NOT NULL QUALIFY row_number() OVER (PARTITION BY file_path, turn ORDER BY line_no DESC) = 1),
+    c AS (SELECT w.*, CASE WHEN is_record THEN coalesce(of_turn, last_model) ELSE last_model END AS model, total || ' ' || last AS pair,
+        coalesce(forked_from IS NOT NULL AND regexp_matches(session, {_UUID7}) AND NOT coalesce(latest > session, false), false) AS inherited
+        FROM w LEFT JOIN t ON is_record AND t.file_path = w.file_path AND t.turn = w.turn WHERE is_record OR (is_event AND total IS DISTINCT FROM before)),
+    best AS (SELECT file_path, session FROM (SELECT h.file_path, session, count(c.file_path) AS n FROM h LEFT JOIN (SELECT file_path FROM c) c ON c.file_path = h.file_path GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY coalesce(session, file_path) ORDER BY n DESC, file_path) = 1),
+    mine AS (SELECT * FROM c WHERE file_path IN (SELECT file_path FROM best)),
+    e AS (SELECT *, CASE WHEN forked_from IN (SELECT session FROM best WHERE session IS NOT NULL) THEN (forked_from, pair) IN (SELECT (session, pair) FROM mine WHERE is_event AND session IS NOT NULL) ELSE inherited END AS copied FROM mine WHERE is_event),
+    kept AS (SELECT *, min(CASE WHEN NOT coalesce(copied, false) THEN line_no END) OVER (PARTITION BY file_path) AS first_own FROM e),
+    counted AS (SELECT call_key, file_path, session, stamp, model, i, o, r, w FROM mine WHERE is_record AND call_key IS NULL
+        UNION ALL (SELECT call_key, file_path, session, stamp, model, i, o, r, w FROM mine WHERE is_record AND call_key IS NOT NULL QUALIFY row_number() OVER (PARTITION BY call_key ORDER BY file_path, line_no) = 1)
+        UNION ALL SELECT NULL, file_path, session, stamp, model, i, o, r, w FROM kept WHERE line_no >= first_own AND (first_record IS NULL OR line_no < first_record)),
+    calls AS (SELECT call_key, coalesce(session, file_path) AS session, {_day_sql('stamp')} AS day, model, greatest(0, i - r - w) AS input, greatest(0, o) AS output, greatest(0, r) AS cache_read, greatest(0, w) AS cache_write FROM counted)"""
+
+
+@query(f"{_CODEX_CALLS} SELECT * FROM calls")
+def codex_calls(spark: SparkSession, folder: str) -> DataFrame:
+    """Calls of the rollouts: usage records, once by response id, and the events before them."""
+    return agents.codex_calls(table(spark, folder, "codex_lines")).select("call_key", "session", "day", "model", *U.COUNTERS)
+
+
+@query(f"{_CODEX_CALLS} SELECT 'codex' AS source, day, coalesce(nullif(model, ''), 'unknown') AS model, {', '.join(f'CAST(sum({c}) AS BIGINT) AS {c}' for c in U.COUNTERS)}, count(*) AS turns FROM calls WHERE day <> '' AND greatest(input, output, cache_read, cache_write) > 0 GROUP BY 2, 3")
 def codex_usage(spark: SparkSession, folder: str) -> DataFrame:
     """Usage of the rollouts by day and model, records and the events before them."""
     return archive.by_day_model(agents.codex_calls(table(spark, folder, "codex_lines")))
@@ -595,16 +626,12 @@ def archive_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return documents.read_archives(whole, "t")
 
 
-_WINDOWS = """stored AS (SELECT '/w/' || CAST(c_custkey % 400 AS STRING) AS path, CASE WHEN c_custkey % 3 = 0 THEN '2024-01-0' || CAST(1 + c_custkey % 9 AS STRING) END AS since, CASE WHEN c_custkey % 5 = 0 THEN '2024-01-2' || CAST(c_custkey % 9 AS STRING) END AS until FROM customer WHERE c_custkey < 400),
+_WINDOWS = """stored AS (SELECT '/w/' || CAST(c_custkey AS STRING) AS path, CASE WHEN c_custkey % 3 = 0 THEN '2024-01-0' || CAST(1 + c_custkey % 9 AS STRING) END AS since, CASE WHEN c_custkey % 5 = 0 THEN '2024-01-2' || CAST(c_custkey % 9 AS STRING) END AS until FROM customer),
     live AS (SELECT '/w/' || CAST(s_suppkey * 7 AS STRING) AS path, '2024-02-01' AS since FROM supplier)"""
 
 
-#: The same over all customers, each with a path of its own.
-_ALL_WINDOWS = _WINDOWS.replace("c_custkey % 400", "c_custkey").replace(" WHERE c_custkey < 400", "")
-
-
-def _windows(spark: SparkSession, folder: str, parts: str = _WINDOWS) -> DataFrame:
-    stored, live = (part.strip() for part in parts.split("live AS ("))
+def _windows(spark: SparkSession, folder: str) -> DataFrame:
+    stored, live = (part.strip() for part in _WINDOWS.split("live AS ("))
     stored = stored[len("stored AS (") :].rstrip(",").removesuffix(")").replace("FROM customer", "FROM {source}")
     old = spark.sql(stored, source=table(spark, folder, "customer"))
     now = spark.sql(live.removesuffix(")").replace("FROM supplier", "FROM {source}"), source=table(spark, folder, "supplier"))
@@ -619,20 +646,10 @@ def session_windows(spark: SparkSession, folder: str) -> DataFrame:
     return _windows(spark, folder)
 
 
-@query(f"WITH {_ALL_WINDOWS}, {_NOW} SELECT * FROM windows")
-def session_windows_all(spark: SparkSession, folder: str) -> DataFrame:
-    return _windows(spark, folder, _ALL_WINDOWS)
-
-
 @query(f"WITH {_WINDOWS}, {_NOW} SELECT event_id FROM events e WHERE EXISTS (SELECT 1 FROM windows w WHERE w.path = '/w/' || CAST(e.user_id AS STRING) AND (since IS NULL OR CAST(CAST(ts AS DATE) AS STRING) >= since) AND (until IS NULL OR CAST(CAST(ts AS DATE) AS STRING) <= until))")
-def calls_in_windows(spark: SparkSession, folder: str, parts: str = _WINDOWS) -> DataFrame:
+def calls_in_windows(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "events").select("event_id", F.concat(F.lit("/w/"), F.col("user_id").cast("string")).alias("p"), F.col("ts").cast("date").cast("string").alias("d"))
-    return documents.in_windows(rows, "p", "d", _windows(spark, folder, parts)).select("event_id")
-
-
-@query(ORACLES["calls_in_windows"].replace(_WINDOWS, _ALL_WINDOWS))
-def calls_in_windows_all(spark: SparkSession, folder: str) -> DataFrame:
-    return calls_in_windows(spark, folder, _ALL_WINDOWS)
+    return documents.in_windows(rows, "p", "d", _windows(spark, folder)).select("event_id")
 
 
 @query("SELECT event_id, CAST(event_id * 127 AS BIGINT) AS number, event_type AS text FROM events")

@@ -13,7 +13,7 @@ from commitlake.sources.tables import table
 SQL = {
     "commits": """
         SELECT o_orderkey AS pos, CAST(o_orderdate AS DATE) AS local_date,
-            CAST(DATE '2024-01-01' + CAST(o_orderkey % 30 AS INT) AS STRING) AS utc_day,
+            CAST(DATE '2024-01-01' + CAST(o_orderkey % 45 AS INT) AS STRING) AS utc_day,
             CASE o_orderpriority WHEN '1-URGENT' THEN 'Claude Opus 4.6' WHEN '2-HIGH' THEN 'Codex' WHEN '3-MEDIUM' THEN 'Copilot'
                 WHEN '4-NOT SPECIFIED' THEN NULL ELSE CASE WHEN o_custkey % 3 = 0 THEN 'Devin' ELSE 'Misc' END END AS agent,
             CASE WHEN o_orderkey % 41 = 0 THEN 'Merge pull request #' || CAST(o_orderkey AS STRING) || ' from fork'

@@ -9,11 +9,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from commitlake.functions import usage as U
 from commitlake.functions.jsonx import json_object, json_value
 from commitlake.operators.archive import carry_forward, cumulative_increase, first_of_key
-from commitlake.operators.drift import before
+from commitlake.operators.documents import in_windows
+from commitlake.operators.lines import running_sum
+from commitlake.session import materialise
 
 CALLS = ["source", "call_key", "session", "day", "model", *U.COUNTERS, "turns"]
 
@@ -23,59 +26,110 @@ def _calls(df: DataFrame, source: str, *, key: Column, session: Column, day: Col
     return rows.select("source", "call_key", "session", "day", "model", "u_c.*", "turns")
 
 
-def once(lines: DataFrame) -> DataFrame:
-    """Each line of a file once: the delivery with the smallest row_id."""
-    first = lines.groupBy("file_path", "line_no").agg(F.min("row_id").alias("row_id"))
-    return lines.join(first, ["file_path", "line_no", "row_id"], "left_semi")
+def once(lines: DataFrame, *more: str) -> DataFrame:
+    """file_path, line_no, raw and ``more`` of each line of a file once: the delivery with the smallest row_id."""
+    first = lines.groupBy("file_path", "line_no").agg(F.min_by(F.struct("raw", *more), "row_id").alias("l"))
+    return first.select("file_path", "line_no", "l.*")
 
 
 _COUNTS = "input_tokens:bigint,cached_input_tokens:bigint,output_tokens:bigint,reasoning_output_tokens:bigint,total_tokens:bigint,cache_write_input_tokens:bigint"
 _CODEX = f"timestamp string, type string, payload struct<id:string,forked_from_id:string,type:string,response_id:string,turn_id:string,model:string,usage:struct<{_COUNTS}>,info:struct<total_token_usage:struct<{_COUNTS}>,last_token_usage:struct<{_COUNTS}>>>"
 
 
-def codex_lines(lines: DataFrame) -> DataFrame:
-    """Parsed lines of the rollouts whose first line is session_meta: file_path, line_no, kind, day, payload (p), session,
-    forked_from and the model of the turn, else the last model named."""
-    parsed = once(lines).select("file_path", "line_no", "row_id", json_object(F.col("raw"), _CODEX).alias("rec")).where("rec IS NOT NULL")
-    flat = parsed.select("file_path", "line_no", "row_id", F.col("rec.type").alias("kind"), U.utc_day(F.coalesce("rec.timestamp", F.lit(""))).alias("day"), F.col("rec.payload").alias("p"))
-    heads = flat.groupBy("file_path").agg(F.min_by(F.struct("kind", "p.id", "p.forked_from_id"), "line_no").alias("h")).where("h.kind = 'session_meta'")
-    mine = flat.join(heads.select("file_path", U.text(F.col("h.id")).alias("session"), U.text(F.col("h.forked_from_id")).alias("forked_from")), "file_path")
-    named = mine.withColumn("u_model", F.when(F.col("kind") == "turn_context", U.text(F.col("p.model"))))
-    carried = carry_forward(named, ["file_path"], "line_no", "row_id", "u_model", "u_last")
-    turns = mine.where((F.col("kind") == "turn_context") & (F.col("p.turn_id") != "")).groupBy("file_path", F.col("p.turn_id").alias("u_turn")).agg(F.max_by("p.model", "line_no").alias("u_of_turn"))
-    joined = carried.withColumn("u_turn", F.col("p.turn_id")).join(turns, ["file_path", "u_turn"], "left")
-    return joined.select("file_path", "line_no", "row_id", "kind", "day", "p", "session", "forked_from", F.coalesce(U.text(F.col("u_of_turn")), F.col("u_last")).alias("model"), F.col("u_last").alias("last_model"))
-
-
 def _codex_counts(c: Column) -> Column:
     return U.inclusive(c["input_tokens"], c["output_tokens"], c["cached_input_tokens"], c["cache_write_input_tokens"])
 
 
-def codex_calls(lines: DataFrame) -> DataFrame:
+def codex_calls(lines: DataFrame, block: int = 4096) -> DataFrame:
     """Calls of rollouts: usage records, once by response id, and token_count events before a rollout's first record.
 
-    Of several copies of a session the fullest counts (ties: the first path). An event counts when its running total
-    differs from the event before; the leading events of a fork that its parent holds too are its parent's.
+    A rollout whose first line is no session_meta says nothing. A record's model is that of its turn, else the last one
+    named; an event's is the last one named. Of several copies of a session the fullest counts (ties: the first path). An
+    event counts when its running total differs from the event before. The leading events of a fork are its parent's: those
+    the parent holds too or, without the parent, those before the fork's own first turn (its id is of a later time).
+
+    Every line is parsed once and written. What goes on from line to line (the model, the running total, the latest turn)
+    is carried from block to block by one row a block, so no file is one task; calls are written, and all that concerns
+    whole sessions reads these alone.
     """
-    rows = codex_lines(lines)
-    records = rows.where(F.col("kind") == "token_usage_record")
-    infos = rows.where((F.col("kind") == "event_msg") & (F.col("p.type") == "token_count") & F.col("p.info.total_token_usage").isNotNull() & F.col("p.info.last_token_usage").isNotNull())
-    pair = F.to_json(F.struct(F.col("p.info.total_token_usage").alias("t"), F.col("p.info.last_token_usage").alias("l")))
-    seen = infos.select("*", F.to_json("p.info.total_token_usage").alias("u_total"), pair.alias("u_pair"))
-    events = before(seen, ["file_path"], "line_no", ["u_total"]).where(~F.col("has_prev") | (F.col("u_total") != F.col("prev_u_total")))
-    size = records.select("file_path", "session").unionByName(events.select("file_path", "session")).groupBy("file_path", "session").agg(F.count("*").alias("n"))
-    fullest = size.groupBy(F.coalesce("session", "file_path").alias("s")).agg(F.min_by("file_path", F.struct((-F.col("n")).alias("n"), "file_path")).alias("file_path")).select("file_path")
-    records = records.join(fullest, "file_path", "left_semi")
-    events = events.join(fullest, "file_path", "left_semi")
-    keyed = records.select("file_path", "line_no", U.text(F.col("p.response_id")).alias("u_key"))
-    counted = first_of_key(records.withColumn("u_key", U.text(F.col("p.response_id"))), "u_key", ["file_path", "line_no"])
-    counted = _calls(counted, "codex", key=F.col("u_key"), session=F.coalesce("session", "file_path"), day=F.col("day"), model=F.col("model"), counters=_codex_counts(F.col("p.usage")))
-    first_record = keyed.groupBy("file_path").agg(F.min("line_no").alias("u_first"))
-    parents = events.select(F.col("session").alias("forked_from"), "u_pair", F.lit(True).alias("u_inherited")).where("forked_from IS NOT NULL").distinct()
-    marked = events.join(parents, ["forked_from", "u_pair"], "left")
-    own = marked.where(F.col("u_inherited").isNull()).groupBy("file_path").agg(F.min("line_no").alias("u_own"))
-    kept = marked.join(own, "file_path").join(first_record, "file_path", "left").where((F.col("line_no") >= F.col("u_own")) & (F.col("u_first").isNull() | (F.col("line_no") < F.col("u_first"))))
-    return counted.unionByName(_calls(kept, "codex", key=F.lit(None).cast("string"), session=F.coalesce("session", "file_path"), day=F.col("day"), model=F.col("last_model"), counters=_codex_counts(F.col("p.info.last_token_usage"))))
+    parsed = once(lines).select("file_path", "line_no", json_object(F.col("raw"), _CODEX).alias("rec"))
+    p, kind = F.col("rec.payload"), F.col("rec.type")
+    info, turn, record = p["info"], kind == "turn_context", kind == "token_usage_record"
+    total, last = F.to_json(info["total_token_usage"]), info["last_token_usage"]
+    event = (kind == "event_msg") & (p["type"] == "token_count") & (total != "{}") & (F.to_json(last) != "{}")
+    rows = materialise(
+        parsed.select(
+            "file_path",
+            "line_no",
+            F.floor(F.col("line_no") / block).alias("blk"),
+            kind.alias("kind"),
+            F.coalesce(record, F.lit(False)).alias("is_record"),
+            F.coalesce(event, F.lit(False)).alias("is_event"),
+            U.utc_day(F.coalesce("rec.timestamp", F.lit(""))).alias("day"),
+            F.when(kind == "session_meta", F.struct(U.text(p["id"]).alias("id"), U.text(p["forked_from_id"]).alias("parent"))).alias("meta"),
+            F.when(turn | record, U.text(p["turn_id"])).alias("turn"),
+            F.when(turn, U.text(p["model"])).alias("named"),
+            F.when(record, U.text(p["response_id"])).alias("call_key"),
+            F.when(event, total).alias("total"),
+            F.when(event, F.concat_ws(" ", total, F.to_json(last))).alias("pair"),
+            F.when(record, _codex_counts(p["usage"])).when(event, _codex_counts(last)).alias("counts"),
+        ),
+        "rollout-lines",
+    )
+    started = F.when(F.col("kind") == "turn_context", U.uuid7(F.col("turn")))
+    at = lambda flag: F.when(flag, F.col("line_no"))
+    blocks = rows.groupBy("file_path", "blk").agg(
+        F.min_by(F.struct("kind", "meta"), "line_no").alias("head"),
+        F.max_by("named", at(F.col("named").isNotNull())).alias("named"),
+        F.max_by("total", at(F.col("is_event"))).alias("total"),
+        F.max(started).alias("started"),
+        F.min(at(F.col("is_record"))).alias("first_record"),
+    )
+    file = Window.partitionBy("file_path")
+    earlier = file.orderBy("blk").rowsBetween(Window.unboundedPreceding, -1)
+    carried = materialise(blocks.select(
+        "file_path",
+        "blk",
+        F.first("head").over(file.orderBy("blk")).alias("head"),
+        F.last("named", ignorenulls=True).over(earlier).alias("named_in"),
+        F.last("total", ignorenulls=True).over(earlier).alias("total_in"),
+        F.max("started").over(earlier).alias("started_in"),
+        F.min("first_record").over(file).alias("first_record"),
+    ).where("head.kind = 'session_meta'"), "rollout-blocks")
+    here = Window.partitionBy("file_path", "blk").orderBy("line_no")
+    before_here = here.rowsBetween(Window.unboundedPreceding, -1)
+    read = rows.join(carried, ["file_path", "blk"]).select(
+        "file_path", "line_no", "is_record", "is_event", "day", "turn", "call_key", "pair", "counts", "first_record", "total",
+        F.col("head.meta.id").alias("session"),
+        F.col("head.meta.parent").alias("forked_from"),
+        F.coalesce(F.last("named", ignorenulls=True).over(here.rowsBetween(Window.unboundedPreceding, 0)), "named_in").alias("model"),
+        F.coalesce(F.last("total", ignorenulls=True).over(before_here), "total_in").alias("before"),
+        F.greatest(F.max(started).over(before_here), F.col("started_in")).alias("latest_turn"),
+    )
+    counted = read.where(F.col("is_record") | (F.col("is_event") & ~F.col("total").eqNullSafe(F.col("before"))))
+    turns = rows.where("kind = 'turn_context' AND turn IS NOT NULL").groupBy("file_path", "turn").agg(F.max_by("named", "line_no").alias("of_turn"))
+    own = U.uuid7(F.col("session"))
+    named = counted.join(turns, ["file_path", "turn"], "left")
+    calls = materialise(
+        named.select(
+            "file_path", "line_no", "is_record", "day", "call_key", "pair", "counts", "first_record", "session", "forked_from",
+            F.when(F.col("is_record"), F.coalesce("of_turn", "model")).otherwise(F.col("model")).alias("model"),
+            F.coalesce(F.col("forked_from").isNotNull() & own.isNotNull() & ~F.coalesce(F.col("latest_turn") > own, F.lit(False)), F.lit(False)).alias("inherited"),
+        ),
+        "rollout-calls",
+    )
+    heads = carried.groupBy("file_path").agg(F.min("head.meta.id").alias("session")).join(calls.groupBy("file_path").agg(F.count("*").alias("n")), "file_path", "left")
+    fullest = heads.groupBy(F.coalesce("session", "file_path").alias("of")).agg(F.min_by(F.struct("file_path", "session"), F.struct((-F.coalesce("n", F.lit(0))).alias("n"), "file_path")).alias("f")).select("f.*")
+    mine = materialise(calls.join(fullest.select("file_path"), "file_path", "left_semi"), "rollout-calls")
+    records = first_of_key(mine.where("is_record"), "call_key", ["file_path", "line_no"])
+    events = mine.where("NOT is_record")
+    parents = fullest.where("session IS NOT NULL").select(F.col("session").alias("forked_from"), F.lit(True).alias("has_parent"))
+    held = events.where("session IS NOT NULL").select(F.col("session").alias("forked_from"), "pair", F.lit(True).alias("in_parent")).distinct()
+    marked = events.join(parents, "forked_from", "left").join(held, ["forked_from", "pair"], "left")
+    copied = F.when(F.col("has_parent"), F.coalesce("in_parent", F.lit(False))).otherwise(F.col("inherited"))
+    begun = marked.where(~copied).groupBy("file_path").agg(F.min("line_no").alias("first_own"))
+    kept = events.join(begun, "file_path").where("line_no >= first_own AND (first_record IS NULL OR line_no < first_record)").drop("first_own")
+    return _calls(records.unionByName(kept), "codex", key=F.col("call_key"), session=F.coalesce("session", "file_path"), day=F.col("day"), model=F.col("model"), counters=F.col("counts"))
 
 
 _METRIC = "usage struct<inputTokens:bigint,outputTokens:bigint,cacheReadTokens:bigint,cacheWriteTokens:bigint>, requests struct<count:bigint>, tokenDetails struct<input:struct<tokenCount:bigint>>"
@@ -84,25 +138,29 @@ _METRIC = "usage struct<inputTokens:bigint,outputTokens:bigint,cacheReadTokens:b
 def copilot_snapshots(lines: DataFrame) -> DataFrame:
     """Cumulative snapshots of the logs, as ``cumulative_increase`` takes them.
 
-    A start opens a session and names it; a start without id, and a resume before any start, take the name of the
-    log's folder. Shutdowns belong to the session that is open. Lines: file_path, line_no, file_seq, row_id, raw.
+    A start opens a session and names it; a start without id takes the name of the log's folder, with the number of such
+    starts before it where there were any, and a resume before any start the folder's name. Shutdowns belong to the
+    session that is open. Lines: file_path, line_no, file_seq, row_id, raw; files without file_seq come in the order of
+    their paths.
     """
     shape = "timestamp string, type string, data struct<sessionId:string,modelMetrics:map<string,string>>"
-    parsed = once(lines).select("file_path", "line_no", "file_seq", "row_id", json_object(F.col("raw"), shape).alias("rec")).where("rec IS NOT NULL")
-    folder = F.regexp_extract("file_path", r"([^/]*)/[^/]*$", 1)
-    kind = F.col("rec.type")
-    name = F.when(kind == "session.start", F.coalesce(U.text(F.col("rec.data.sessionId")), folder))
-    resumed = F.when(kind == "session.resume", folder)
-    named = parsed.withColumns({"u_start": name, "u_resume": resumed})
-    opened = carry_forward(named, ["file_path"], "line_no", "row_id", "u_start", "u_open")
-    opened = carry_forward(opened, ["file_path"], "line_no", "row_id", "u_resume", "u_folder").withColumn("session", F.coalesce("u_open", "u_folder"))
-    shut = opened.where((F.col("rec.type") == "session.shutdown") & F.col("session").isNotNull()).select("session", "file_seq", "line_no", U.utc_day(F.coalesce("rec.timestamp", F.lit(""))).alias("day"), F.explode("rec.data.modelMetrics").alias("model", "metric"))
-    read = shut.withColumn("m", json_object(F.col("metric"), _METRIC)).where("m IS NOT NULL").withColumn("u_c", _copilot_counts(F.col("m.usage")))
+    parsed = once(lines, "file_seq").select("file_path", "line_no", "file_seq", json_object(F.col("raw"), shape).alias("rec")).where("rec IS NOT NULL")
+    folder, kind = F.regexp_extract("file_path", r"([^/]*)/[^/]*$", 1), F.col("rec.type")
+    marks = materialise(parsed.where(kind.isin("session.start", "session.resume", "session.shutdown")).withColumn("tie", F.lit(0)), "session-marks")
+    unnamed = F.when((kind == "session.start") & U.text(F.col("rec.data.sessionId")).isNull(), 1).otherwise(0)
+    numbered = running_sum(marks, ["file_path"], "line_no", {"u_n": unnamed})
+    own = F.concat(folder, F.when(F.col("u_n") > 1, F.concat(F.lit("#"), F.col("u_n").cast("string"))).otherwise(""))
+    named = numbered.withColumns({"u_start": F.when(kind == "session.start", F.coalesce(U.text(F.col("rec.data.sessionId")), own)), "u_resume": F.when(kind == "session.resume", folder)})
+    opened = carry_forward(named, ["file_path"], "line_no", "tie", "u_start", "u_open")
+    opened = carry_forward(opened, ["file_path"], "line_no", "tie", "u_resume", "u_folder").withColumn("session", F.coalesce("u_open", "u_folder"))
+    shut = opened.where((kind == "session.shutdown") & F.col("session").isNotNull())
+    each = shut.select("session", "file_path", "file_seq", "line_no", U.utc_day(F.coalesce("rec.timestamp", F.lit(""))).alias("day"), F.explode("rec.data.modelMetrics").alias("model", "metric"))
+    read = each.withColumn("m", json_object(F.col("metric"), _METRIC)).where("m IS NOT NULL").withColumn("u_c", _copilot_counts(F.col("m.usage")))
     return read.select(
         F.lit("copilot").alias("source"),
         "session",
         "model",
-        (F.coalesce("file_seq", F.lit(0)).cast("bigint") * (1 << 32) + F.col("line_no")).alias("at"),
+        F.struct(F.coalesce("file_seq", F.lit(0)).alias("file_seq"), F.when(F.col("file_seq").isNull(), F.col("file_path")).alias("file_path"), "line_no").alias("at"),
         "day",
         "u_c.*",
         F.greatest(F.lit(0), F.col("m.requests.count")).alias("calls"),
@@ -193,32 +251,50 @@ def store_calls(messages: DataFrame, sessions: DataFrame, source: str = "opencod
     return _calls(dated, source, key=F.concat_ws("#", "id", F.when(F.col("u_r.i") >= 0, F.col("u_r.i").cast("string"))), session=F.col("session_id"), day=U.day_ms(F.col("u_ms")), model=name, counters=U.store_counters(F.col("u_r.t"), provider, model, U.version(F.col("version"))))
 
 
-def transcript_calls(lines: DataFrame) -> DataFrame:
+def transcript_calls(lines: DataFrame, windows: DataFrame | None = None) -> DataFrame:
     """Calls of transcripts (claude-code): assistant records with usage, once by message id, else request id, else uuid;
-    records without any are all kept."""
+    records without any are all kept.
+
+    Only dated records count, and with ``windows`` (folder, since, until: days or NULL) those in a window of the folder
+    their file lies in; both are tested before the copies, so a copy that counts is not lost to one that does not.
+    """
     shape = "type string, timestamp string, uuid string, requestId string, message struct<id:string,model:string,usage:struct<input_tokens:bigint,output_tokens:bigint,cache_read_input_tokens:bigint,cache_creation_input_tokens:bigint>>"
     parsed = lines.where(F.col("raw").contains('"usage"')).select("file_path", "line_no", "row_id", json_object(F.col("raw"), shape).alias("rec")).where("rec.type = 'assistant' AND rec.message.usage IS NOT NULL")
-    keyed = parsed.withColumn("u_key", F.coalesce(U.text(F.col("rec.message.id")), U.text(F.col("rec.requestId")), U.text(F.col("rec.uuid"))))
+    dated = parsed.withColumn("u_day", U.utc_day(F.coalesce("rec.timestamp", F.lit("")))).where("u_day <> ''")
+    if windows is not None:
+        dated = in_windows(dated.withColumn("u_folder", transcript_folder(F.col("file_path"))), "u_folder", "u_day", windows.withColumnRenamed("folder", "path")).drop("u_folder")
+    keyed = dated.withColumn("u_key", F.coalesce(U.text(F.col("rec.message.id")), U.text(F.col("rec.requestId")), U.text(F.col("rec.uuid"))))
     u = F.col("rec.message.usage")
     kept = first_of_key(keyed, "u_key", ["file_path", "line_no", "row_id"])
-    return _calls(kept, "claude-code", key=F.col("u_key"), session=F.col("file_path"), day=U.utc_day(F.coalesce("rec.timestamp", F.lit(""))), model=F.col("rec.message.model"), counters=U.additive(u["input_tokens"], u["output_tokens"], u["cache_read_input_tokens"], u["cache_creation_input_tokens"]))
+    return _calls(kept, "claude-code", key=F.col("u_key"), session=F.col("file_path"), day=F.col("u_day"), model=F.col("rec.message.model"), counters=U.additive(u["input_tokens"], u["output_tokens"], u["cache_read_input_tokens"], u["cache_creation_input_tokens"]))
+
+
+def transcript_folder(path: Column) -> Column:
+    """The folder of the project a transcript belongs to: its own, or that of the session whose sub-agent wrote it."""
+    return F.regexp_replace(F.regexp_replace(path, r"/[^/]+/subagents/(.*/)?agent-[^/]*$", ""), r"/[^/]*\.jsonl$", "")
 
 
 #: Login types whose missing total is input and output (fixed values).
 SUMMED_LOGINS = ("openai", "openai-responses", "qwen-oauth", "anthropic")
 
 
+#: Name of the event that reports a call (fixed value).
+EVENT = "qwen-code.api_response"
+
+
 def telemetry_calls(lines: DataFrame) -> DataFrame:
     """Calls of telemetry chats (qwen): the last write of each uuid, or of each line without one."""
     event = "`event.name`:string,`event.timestamp`:string,model:string,auth_type:string,input_token_count:bigint,output_token_count:bigint,cached_content_token_count:bigint,thoughts_token_count:bigint,tool_token_count:bigint,total_token_count:bigint"
     shape = f"uuid string, cwd string, timestamp string, systemPayload struct<uiEvent:struct<{event}>>"
-    parsed = lines.select("file_path", "line_no", "row_id", json_object(F.col("raw"), shape).alias("rec")).where(F.col("rec.systemPayload.uiEvent.`event.name`").endswith("api_response"))
+    parsed = lines.select("file_path", "line_no", "row_id", json_object(F.col("raw"), shape).alias("rec")).where(F.col("rec.systemPayload.uiEvent.`event.name`") == EVENT)
     key = F.coalesce(U.text(F.col("rec.uuid")), F.concat_ws(":", "file_path", "line_no"))
     last = parsed.groupBy(key.alias("u_key")).agg(F.max_by(F.struct("rec", "file_path"), F.struct("file_path", "line_no", "row_id")).alias("l"))
     e = F.col("l.rec.systemPayload.uiEvent")
-    total = F.coalesce(e["total_token_count"], F.when(e["auth_type"].isin(*SUMMED_LOGINS), U.count(e["input_token_count"]) + U.count(e["output_token_count"])))
+    summed = (U.count(e["total_token_count"]) == 0) & e["auth_type"].isin(*SUMMED_LOGINS)
+    total = F.when(summed, U.count(e["input_token_count"]) + U.count(e["output_token_count"])).otherwise(e["total_token_count"])
     t = F.struct(e["input_token_count"].alias("input"), e["output_token_count"].alias("output"), e["cached_content_token_count"].alias("cached"), e["thoughts_token_count"].alias("thoughts"), e["tool_token_count"].alias("tool"), total.alias("total"))
-    return _calls(last, "qwen", key=F.col("u_key"), session=F.col("l.file_path"), day=U.utc_day(F.coalesce(U.text(e["event.timestamp"]), U.text(F.col("l.rec.timestamp")), F.lit(""))), model=e["model"], counters=U.chat_counters(t))
+    day = F.coalesce(U.text(U.utc_day(F.coalesce(e["event.timestamp"], F.lit("")))), U.utc_day(F.coalesce("l.rec.timestamp", F.lit(""))))
+    return _calls(last, "qwen", key=F.col("u_key"), session=F.col("l.file_path"), day=day, model=e["model"], counters=U.chat_counters(t))
 
 
 def conversation_calls(steps: DataFrame, generations: DataFrame) -> DataFrame:

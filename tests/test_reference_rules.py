@@ -134,6 +134,30 @@ def test_merge_ownership(spark):
     assert sorted(map(tuple, graph.assign_prs(commits).collect())) == [(1, None), (2, None), (3, 9), (4, 5), (5, 5), (6, None), (7, None)]
 
 
+def test_owners_over_long_and_forked_branches(spark):
+    """Against plain reachability: a long side branch, branches that fork and meet, and commits that are not merged."""
+    rows = [(1, [])] + [(n, [n - 1]) for n in range(2, 40)]  # a branch of 38 commits
+    rows += [(40, [1]), (41, [40]), (42, [40]), (43, [41, 42]), (44, [43]), (45, [44]), (46, [44])]
+    rows += [(50, [1]), (51, [50, 39]), (52, [51, 46]), (53, [52, 45]), (54, [44])]
+    commits = spark.createDataFrame([(n, p, "x") for n, p in rows], "pos long, parents array<long>, message string")
+    parents = dict(rows)
+    chain, at = [], 53
+    while at:
+        chain.append(at)
+        at = parents[at][0] if parents[at] else None
+    want = {}
+    for top in sorted(chain):
+        todo = [top]
+        while todo:
+            n = todo.pop()
+            if n not in want:
+                want[n] = top
+                todo.extend(parents[n])
+    tip = spark.createDataFrame([(53,)], "pos long")
+    assert {r["pos"]: r["owner"] for r in graph.owners(commits, tip).collect()} == want
+    assert 54 not in want
+
+
 def test_porcelain(spark):
     text = f"{'a' * 40} 1 1 2\nauthor x\n\tline\n{'a' * 40} 2 2\n\tline\n{'b' * 40} 3 3 1\n\t{'c' * 40} 1 1"
     df = spark.createDataFrame([("f", text)], "path string, porcelain string")

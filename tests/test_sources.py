@@ -90,6 +90,52 @@ def test_codex(spark):
     assert rows == [("p", "", "m1", 4, 0), ("p", "", "m1", 5, 0), ("q", "", "", 11, 0), ("r", "", "m1", 2, 1), ("r", "", "m1", 7, 0), ("r", "k", "m1", 9, 1)]
 
 
+def test_codex_forks_without_their_parent(spark):
+    """What a fork inherited is known by its own turns, which are of a later time than its id."""
+    use = lambda i: {"input_tokens": i, "output_tokens": 1}
+    event = lambda total, last: {"timestamp": "2026-01-02T00:00:00Z", "type": "event_msg", "payload": {"type": "token_count", "info": {"total_token_usage": use(total), "last_token_usage": use(last)}}}
+    uuid = lambda ms: f"{ms:012x}"[:8] + "-" + f"{ms:012x}"[8:] + "-7abc-8abc-0123456789ab"
+    meta = lambda i, parent: {"timestamp": "2026-01-01T00:00:00Z", "type": "session_meta", "payload": {"id": i, "forked_from_id": parent}}
+    turn = lambda i: {"type": "turn_context", "payload": {"turn_id": i, "model": "m"}}
+    own = uuid(5000)
+    fork = [meta(own, "gone"), turn(uuid(1000)), event(10, 10), turn(uuid(6000)), event(40, 30), turn("x"), event(50, 10)]
+    for block in (2, 4096):
+        got = agents.codex_calls(lines(spark, *fork, path="f/a.jsonl"), block=block).collect()
+        assert sorted((r["input"], r["model"]) for r in got) == [(10, "m"), (30, "m")]
+    plain = [meta("no-time", "gone"), event(10, 10), event(40, 30)]
+    assert sorted(r["input"] for r in agents.codex_calls(lines(spark, *plain)).collect()) == [10, 30]
+    assert agents.codex_calls(lines(spark, '{"type": "session_me', *fork)).count() == 0  # a torn head says nothing about the file
+    empty = [meta("e", None), {**event(1, 1), "payload": {"type": "token_count", "info": {"total_token_usage": {}, "last_token_usage": use(3)}}}]
+    assert agents.codex_calls(lines(spark, *empty)).count() == 0
+
+
+def test_copilot_sessions_without_a_name(spark):
+    """Each counts from zero, also in a log whose first one has no name either."""
+    metric = lambda i: {"usage": {"inputTokens": i, "outputTokens": 0, "cacheReadTokens": 0, "cacheWriteTokens": 0}}
+    shut = lambda i: {"type": "session.shutdown", "timestamp": "2026-01-01T00:00:00Z", "data": {"modelMetrics": {"m": metric(i)}}}
+    start = {"type": "session.start", "data": {}}
+    df = lines(spark, start, shut(100), start, shut(60), path="x/dir/events.jsonl")
+    assert sorted((r["session"], r["input"]) for r in agents.copilot_log_calls(df).collect()) == [("dir", 100), ("dir#2", 60)]
+    two = lines(spark, start, shut(100), path="x/dir/a.jsonl").unionByName(lines(spark, start, shut(130), path="x/dir/b.jsonl")).withColumn("file_seq", F.lit(None).cast("int"))
+    assert sorted(r["input"] for r in agents.copilot_log_calls(two).collect()) == [30, 100]
+
+
+def test_transcript_windows_and_undated_copies(spark):
+    turn = lambda i, n, at: {"type": "assistant", "timestamp": at, "message": {"id": i, "model": "c", "usage": {"input_tokens": n}}}
+    df = lines(spark, turn("x", 1, None), turn("x", 2, "2026-01-05T00:00:00Z"), turn("y", 3, "2026-01-01T00:00:00Z"), turn("y", 4, "2026-01-06T00:00:00Z"), path="/h/-work-a/s.jsonl")
+    sub = lines(spark, turn("z", 5, "2026-01-05T00:00:00Z"), path="/h/-work-a/s/subagents/deep/agent-1.jsonl").unionByName(lines(spark, turn("q", 9, "2026-01-05T00:00:00Z"), path="/h/-work-b/s.jsonl"))
+    every = df.unionByName(sub)
+    assert sorted((r["call_key"], r["input"]) for r in agents.transcript_calls(every).collect()) == [("q", 9), ("x", 2), ("y", 3), ("z", 5)]
+    windows = spark.createDataFrame([("/h/-work-a", "2026-01-04", None)], "folder string, since string, until string")
+    assert sorted((r["call_key"], r["input"]) for r in agents.transcript_calls(every, windows).collect()) == [("x", 2), ("y", 4), ("z", 5)]
+
+
+def test_telemetry_totals_and_days(spark):
+    event = lambda u, **more: {"uuid": u, "timestamp": "2026-01-01T00:00:00Z", "systemPayload": {"uiEvent": {"event.name": "qwen-code.api_response", "model": "q", "auth_type": "openai", "input_token_count": 1, "output_token_count": 5, "thoughts_token_count": 3, **more}}}
+    df = lines(spark, event("u", total_token_count=0), event("v", **{"event.timestamp": "soon"}), event("w", **{"event.name": "other.api_response"}))
+    assert calls(agents.telemetry_calls(df)) == [("u", "2026-01-01", "q", 1, 5, 0, 0), ("v", "2026-01-01", "q", 1, 5, 0, 0)]
+
+
 def test_copilot_log(spark):
     metric = lambda i, o, n, own=None: {"usage": {"inputTokens": i, "outputTokens": o, "cacheReadTokens": 0, "cacheWriteTokens": 0}, "requests": {"count": n}, **({"tokenDetails": {"input": {"tokenCount": own}}} if own is not None else {})}
     start = lambda s: {"type": "session.start", "data": {"sessionId": s}}

@@ -36,15 +36,15 @@ MOVED = {
 }
 
 
-def test_utc_day_all_moves_offsets(spark, tmp_path):
+def test_utc_day_moves_offsets(spark, tmp_path):
     stamps = dict(enumerate(MOVED))
     spark.createDataFrame([(i, s) for i, s in stamps.items()], "row_id long, created_at string").write.parquet(str(tmp_path / "assistant_usage_events.parquet"))
-    found = {stamps[r["row_id"]]: r["day"] for r in history.QUERIES["utc_day_all"](spark, str(tmp_path)).collect()}
+    found = {stamps[r["row_id"]]: r["day"] for r in history.QUERIES["utc_day"](spark, str(tmp_path)).collect()}
     assert found == MOVED
 
 
-def test_utc_day_all_has_every_row(spark):
-    assert history.QUERIES["utc_day_all"](spark, FOLDER).count() == table(spark, FOLDER, "assistant_usage_events").count()
+def test_utc_day_has_every_row(spark):
+    assert history.QUERIES["utc_day"](spark, FOLDER).count() == table(spark, FOLDER, "assistant_usage_events").count()
 
 
 def test_windows_of_all_customers(spark):
@@ -55,22 +55,23 @@ def test_windows_of_all_customers(spark):
     db = duckdb.connect()
     for name in ("customer", "supplier", "events"):
         db.execute(f"CREATE VIEW {name} AS SELECT * FROM '{folder}/{name}.parquet'")
-    for name in ("session_windows_all", "calls_in_windows_all"):
+    for name in ("session_windows", "calls_in_windows"):
         found = history.QUERIES[name](spark, folder)
         want = db.execute(history.ORACLES[name])
         places = [[c[0] for c in want.description].index(c) for c in found.columns]
         rows = sorted(map(tuple, found.collect()), key=repr)
         assert rows == sorted((tuple(r[i] for i in places) for r in want.fetchall()), key=repr)
-        if name == "session_windows_all":
+        if name == "session_windows":
             keys = {r[0] for r in db.execute("SELECT '/w/' || c_custkey FROM customer").fetchall()}
             assert len(keys) > 400 and keys <= {r[0] for r in rows}
 
 
 def test_series_keeps_every_total(spark):
-    measured = history.QUERIES["source_series_all"](spark, FOLDER).where("kind = 'm'").select("source", "day", "tokens")
+    measured = history.QUERIES["source_series"](spark, FOLDER).where("kind = 'm'").select("source", "day", "tokens")
     totals = history.QUERIES["source_totals"](spark, FOLDER).select("source", "day", "tokens")
     assert sorted(measured.collect()) == sorted(totals.collect())
     assert totals.where("substring(day, 9, 2) <= '10'").count() > 0
+    assert history.QUERIES["source_series"](spark, FOLDER).where("kind = 'e'").count() > 0
 
 
 def test_no_intermediate_table_outside_of_a_shared_folder():
