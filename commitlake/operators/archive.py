@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from commitlake.functions.usage import COUNTERS
 from commitlake.operators.attribution import is_ai, source_for
+from commitlake.session import materialise
 
 
 def by_day_model(calls: DataFrame) -> DataFrame:
@@ -164,13 +165,23 @@ def carry_forward(df: DataFrame, keys: list[str], order: str, tie: str, value: s
 def as_of(df: DataFrame, at: str, table: DataFrame, since: str, value: str, name: str, limit: int = 10_000) -> DataFrame:
     """``df`` with the ``value`` of the last ``table`` row whose ``since`` is not after ``at``; NULL before the first.
 
-    The table is a release list: it is read to the driver, its size checked against ``limit``, and becomes an array in
-    the plan that each row searches. Of equal ``since`` the greatest value counts; a NULL ``at`` gives NULL.
+    A table of at most ``limit`` rows, a release list, is read to the driver and becomes an array in the plan that each
+    row searches. A larger one is merged with the distinct ``at`` in sorted ranges: the last value of each range goes on
+    to the next, and the answers are joined back. Of equal ``since`` the greatest value counts; a NULL ``at`` gives NULL.
     """
-    rows = table.where(F.col(since).isNotNull()).groupBy(since).agg(F.max(value).alias("v")).orderBy(since).limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"as-of table has more than {limit} rows")
+    starts = table.where(F.col(since).isNotNull()).groupBy(F.col(since).alias("s")).agg(F.max(value).alias("v"))
+    rows = starts.orderBy("s").limit(limit + 1).collect()
     if not rows:
         return df.withColumn(name, F.lit(None).cast(table.schema[value].dataType))
-    cell = F.array(*(F.struct(F.lit(r[0]).cast(table.schema[since].dataType).alias("s"), F.lit(r[1]).cast(table.schema[value].dataType).alias("v")) for r in rows))
-    return df.withColumn(name, F.try_element_at(F.filter(cell, lambda x: x["s"] <= F.col(at)), F.lit(-1))["v"])
+    if len(rows) <= limit:
+        cell = F.array(*(F.struct(F.lit(r[0]).cast(table.schema[since].dataType).alias("s"), F.lit(r[1]).cast(table.schema[value].dataType).alias("v")) for r in rows))
+        return df.withColumn(name, F.try_element_at(F.filter(cell, lambda x: x["s"] <= F.col(at)), F.lit(-1))["v"])
+    asked = df.where(F.col(at).isNotNull()).select(F.col(at).alias("s")).distinct().withColumns({"v": F.lit(None), "k": F.lit(1)})
+    both = starts.select("s", F.struct("v").alias("v"), F.lit(0).alias("k")).unionByName(asked.withColumn("v", F.lit(None).cast(f"struct<v:{table.schema[value].dataType.simpleString()}>")))
+    ranges = materialise(both.repartitionByRange("s").withColumn("r", F.spark_partition_id()), "as-of")
+    ends = ranges.where("k = 0").groupBy("r").agg(F.max_by("v", "s").alias("end"))
+    every = ranges.select("r").distinct().join(ends, "r", "left")  # one row a range
+    into = every.select("r", F.last("end", ignorenulls=True).over(Window.orderBy("r").rowsBetween(Window.unboundedPreceding, -1)).alias("in"))
+    here = Window.partitionBy("r").orderBy("s", "k").rowsBetween(Window.unboundedPreceding, 0)
+    found = ranges.join(into, "r").withColumn("v", F.coalesce(F.last("v", ignorenulls=True).over(here), F.col("in"))).where("k = 1").select(F.col("s").alias(at), F.col("v.v").alias(name))
+    return df.join(found, at, "left").select(*df.columns, name)

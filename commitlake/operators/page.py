@@ -102,10 +102,25 @@ def language_pivot(matrix: DataFrame, languages: list[str], kind: str = "code")
     return matrix.groupBy("pos").agg(*(F.sum(F.when(F.col("language") == lang, net).otherwise(0)).cast("bigint").alias(name(lang)) for lang in languages))
 
 
-def search(selected: DataFrame, text: str, agents: list[str], k: int = 500) -> DataFrame:
-    """The ``k`` newest commits whose message contains ``text`` in any case and whose agent is shown as one of ``agents``."""
-    hit = selected.where(F.lower("message").contains(text.lower()) & shown_agent(F.col("agent")).isin(*agents))
-    return hit.orderBy(F.desc("local_date"), F.desc("pos")).limit(k)
+#: What the table of commits is sorted by, most first (texts: first first); ties by the newest.
+SORTS = {"date": "local_date", "churn": "churn", "net": "net", "added": "added", "removed": "removed", "message": "message", "agent": "agent"}
+
+
+def search(selected: DataFrame, text: str, agents: list[str], k: int = 500, sort: str = "date") -> DataFrame:
+    """The first ``k`` commits by ``sort`` whose message, or hash if ``selected`` has one, contains ``text`` in any case
+    and whose agent is shown as one of ``agents``."""
+    names = [c for c in ("message", "hash") if c in selected.columns]
+    found = F.lit(False)
+    for name in names:
+        found = found | F.coalesce(F.lower(name).contains(text.lower()), F.lit(False))
+    hit = selected.where(found & shown_agent(F.col("agent")).isin(*agents))
+    by = {"churn": F.col("added") + F.col("removed"), "agent": shown_agent(F.col("agent")), "message": F.lower("message")}.get(sort, F.col(SORTS[sort]))
+    return hit.orderBy(by.asc() if sort in ("message", "agent") else by.desc(), F.desc("pos")).limit(k)
+
+
+def test_cumulative(matrix: DataFrame, commits: DataFrame, language: str = "All", kind: str = "total") -> DataFrame:
+    """pos and the running net of test lines in history order."""
+    return cumulative(selection(matrix, commits, language, kind, tests_only=True)).select("pos", "cumulative")
 
 
 def page_rows(selected: DataFrame, matrix: DataFrame, order: DataFrame) -> DataFrame:

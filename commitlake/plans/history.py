@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from commitlake.functions import paths as P
 from commitlake.functions import usage as U
+from commitlake.functions.jsonx import json_object
 from commitlake.functions.protobuf import field_bytes, field_number, proto_fields
-from commitlake.operators import archive, attribution, classify, documents, graph, lines, page
+from commitlake.operators import archive, attribution, classify, documents, graph, lines, measuring, membership, page
 from commitlake.plans.problems import normal_stamps
 from commitlake.plans.views import dag, view, with_views
 from commitlake.session import materialise, utc
@@ -419,33 +420,169 @@ def copilot_store_usage(spark: SparkSession, folder: str) -> DataFrame:
     return agents.copilot_store_calls(table(spark, folder, "assistant_usage_events")).select("call_key", *U.COUNTERS)
 
 
-@query()
+def _whole_sql(j: str, path: str) -> str:
+    return f"CASE WHEN json_type({j}, '$.{path}') IN ('UBIGINT', 'BIGINT') THEN CAST(json_extract_string({j}, '$.{path}') AS BIGINT) END"
+
+
+_SEEN = ("input", "output", "cache_read", "cache_write")
+_GROWN = " OR ".join(f"s.{c} > f.seen_{c}" for c in _SEEN)
+_FELL = " OR ".join(f"s.{c} < f.seen_{c}" for c in _SEEN)
+_STATE = f"CASE WHEN NOT s.valid THEN 'invalid' WHEN s.day = '' THEN 'undated' WHEN NOT ({_GROWN}) THEN 'stale' WHEN {_FELL} THEN 'broken' ELSE 'added' END"
+_SNAPSHOTS = f"""WITH RECURSIVE cl AS (SELECT file_path, line_no, file_seq, CASE WHEN json_valid(raw) AND json_type(raw) = 'OBJECT' THEN raw END AS j FROM copilot_lines QUALIFY row_number() OVER (PARTITION BY file_path, line_no ORDER BY row_id) = 1),
+    cx AS (SELECT file_path, line_no, coalesce(file_seq, 0) AS file_seq, CASE WHEN file_seq IS NULL THEN file_path END AS alone, regexp_extract(file_path, '([^/]*)/[^/]*$', 1) AS folder, json_extract_string(j, '$.type') AS kind, nullif(json_extract_string(j, '$.data.sessionId'), '') AS sid,
+        nullif(json_extract_string(j, '$.data.copilotVersion'), '') AS version, coalesce(json_extract_string(j, '$.timestamp'), '') AS stamp, CASE WHEN json_type(j, '$.data.modelMetrics') = 'OBJECT' THEN json_extract(j, '$.data.modelMetrics') END AS metrics FROM cl WHERE j IS NOT NULL),
+    cn AS (SELECT *, count(*) FILTER (kind = 'session.start' AND sid IS NULL) OVER (PARTITION BY file_path ORDER BY line_no) AS unnamed FROM cx),
+    co AS (SELECT *, coalesce(last_value(CASE WHEN kind = 'session.start' THEN coalesce(sid, folder || CASE WHEN unnamed > 1 THEN '#' || (unnamed - 1) ELSE '' END) END IGNORE NULLS) OVER w,
+        last_value(CASE WHEN kind = 'session.resume' THEN folder END IGNORE NULLS) OVER w) AS session FROM cn WINDOW w AS (PARTITION BY file_path ORDER BY line_no ROWS UNBOUNDED PRECEDING)),
+    ck AS (SELECT *, unnest(json_keys(metrics)) AS model FROM co WHERE kind = 'session.shutdown' AND session IS NOT NULL),
+    cm AS (SELECT *, json_extract(metrics, '$."' || model || '"') AS m FROM ck),
+    ci AS (SELECT session, model, file_seq, alone, line_no, {_day_sql('stamp')} AS day, coalesce({_whole_sql('m', 'usage.inputTokens')}, 0) AS i, coalesce({_whole_sql('m', 'usage.outputTokens')}, 0) AS o, coalesce({_whole_sql('m', 'usage.cacheReadTokens')}, 0) AS r,
+        coalesce({_whole_sql('m', 'usage.cacheWriteTokens')}, 0) AS w, greatest(0, {_whole_sql('m', 'requests.count')}) AS n_calls, {_whole_sql('m', 'requests.count')} IS NULL AS no_calls, {_whole_sql('m', 'tokenDetails.input.tokenCount')} AS own FROM cm WHERE json_type(m) = 'OBJECT'),
+    cs AS (SELECT session, model, day, greatest(0, i - r - w) AS input, greatest(0, o) AS output, greatest(0, r) AS cache_read, greatest(0, w) AS cache_write, CASE WHEN NOT no_calls THEN n_calls END AS calls, coalesce(own = i - r - w, true) AS valid,
+        row_number() OVER (PARTITION BY session, model ORDER BY file_seq, alone, line_no) AS n FROM ci),
+    fold AS (SELECT DISTINCT session, model, CAST(0 AS BIGINT) AS n, '' AS day, '' AS state, {', '.join(f'CAST(0 AS BIGINT) AS {c}' for c in (*_SEEN, 'turns', *(f'seen_{c}' for c in _SEEN), 'seen_calls'))} FROM cs
+        UNION ALL SELECT session, model, n, day, state, {', '.join(f"CASE WHEN state = 'added' THEN {c} - seen_{c} ELSE 0 END" for c in _SEEN)}, CASE WHEN state <> 'added' THEN 0 WHEN calls IS NULL THEN 1 ELSE greatest(0, calls - seen_calls) END,
+        {', '.join(f"CASE WHEN state = 'added' THEN {c} ELSE seen_{c} END" for c in _SEEN)}, CASE WHEN state = 'added' THEN coalesce(calls, seen_calls) ELSE seen_calls END
+        FROM (SELECT s.*, {', '.join(f'f.seen_{c}' for c in (*_SEEN, 'calls'))}, {_STATE} AS state FROM fold f JOIN cs s ON s.session = f.session AND s.model = f.model AND s.n = f.n + 1)),
+    added AS (SELECT session, model, day, state, input, output, cache_read, cache_write, turns FROM fold WHERE n > 0)"""
+_BY_DAY = f"day, coalesce(nullif(model, ''), 'unknown') AS model, {', '.join(f'CAST(sum({c}) AS BIGINT) AS {c}' for c in (*_SEEN, 'turns'))}"
+
+
+@query(f"{_SNAPSHOTS} SELECT 'copilot' AS source, {_BY_DAY} FROM added WHERE state = 'added' AND day <> '' AND greatest(input, output, cache_read, cache_write) > 0 GROUP BY 2, 3")
 def copilot_log_usage(spark: SparkSession, folder: str) -> DataFrame:
     """Usage that the cumulative snapshots of the logs add, by day and model."""
     return archive.by_day_model(agents.copilot_log_calls(table(spark, folder, "copilot_lines")))
 
 
-@query()
+@query(f"{_SNAPSHOTS} SELECT state, count(*) AS n_snapshots, CAST(sum(turns) AS BIGINT) AS turns FROM added GROUP BY 1")
 def cumulative_states(spark: SparkSession, folder: str) -> DataFrame:
     """How many snapshots added something, were stale, broken, undated or invalid."""
     states = archive.cumulative_increase(agents.copilot_snapshots(table(spark, folder, "copilot_lines")))
     return states.groupBy("state").agg(F.count("*").alias("n_snapshots"), F.sum("turns").cast("bigint").alias("turns"))
 
 
-_KEPT = ("input_tokens", "cached_input_tokens", "output_tokens", "reasoning_output_tokens", "total_tokens", "cache_write_input_tokens")
+_SIDES = f"""{_SNAPSHOTS},
+    rk AS (SELECT * FROM assistant_usage_events QUALIFY row_number() OVER (PARTITION BY id ORDER BY row_id) = 1 OR id IS NULL),
+    rd AS (SELECT *, coalesce(input_tokens, 0) - coalesce(cache_read_tokens, 0) - coalesce(cache_write_tokens, 0) AS fresh,
+        TRY_CAST(list_filter(CAST(CASE WHEN json_valid(token_details_json) THEN token_details_json END AS JSON[]), lambda x: json_extract_string(x, '$.tokenType') = 'input')[-1]->>'$.tokenCount' AS BIGINT) AS own FROM rk),
+    stored AS (SELECT session_id AS session, {_day_sql('created_at')} AS day, model, greatest(0, fresh) AS input, greatest(0, coalesce(output_tokens, 0)) AS output, greatest(0, coalesce(cache_read_tokens, 0)) AS cache_read, greatest(0, coalesce(cache_write_tokens, 0)) AS cache_write, 1 AS turns
+        FROM rd WHERE own IS NULL OR own = fresh),
+    both_ AS (SELECT 'logs' AS side, split_part(session, '#', 1) AS base, day, model, input, output, cache_read, cache_write, turns FROM added WHERE state = 'added' UNION ALL SELECT 'rows', session, day, model, input, output, cache_read, cache_write, turns FROM stored),
+    sizes AS (SELECT base, coalesce(sum(input + output + cache_read + cache_write) FILTER (side = 'logs'), 0) AS in_logs, coalesce(sum(input + output + cache_read + cache_write) FILTER (side = 'rows'), 0) AS in_rows FROM both_ WHERE day <> '' GROUP BY 1),
+    vers AS (SELECT coalesce(sid, folder) AS base, arg_min(version, (file_path, line_no)) AS version FROM cx WHERE kind = 'session.start' AND version IS NOT NULL GROUP BY 1),
+    sides AS (SELECT s.base, CASE WHEN list_transform(regexp_extract_all(split_part(coalesce(v.version, ''), '-', 1), '\\d+'), lambda x: CAST(x AS INT))[1:3] >= [1, 0, 69] THEN CASE WHEN h.base IS NOT NULL THEN 'rows' ELSE 'held' END
+        WHEN h.base IS NULL THEN 'logs' WHEN in_rows >= in_logs THEN 'rows' ELSE 'logs' END AS side FROM sizes s LEFT JOIN vers v USING (base) LEFT JOIN (SELECT DISTINCT session_id AS base FROM assistant_usage_events WHERE session_id IS NOT NULL) h ON h.base = s.base)"""
 
 
-def _int_sql(j: str, path: str) -> str:
-    return f"CASE WHEN json_type({j}, '$.{path}') IN ('UBIGINT', 'BIGINT') THEN CAST(json_extract_string({j}, '$.{path}') AS BIGINT) END"
+@query(f"{_SIDES} SELECT 'copilot' AS source, {_BY_DAY} FROM both_ b WHERE (side = 'rows' AND base IS NULL OR EXISTS (SELECT 1 FROM sides s WHERE s.base = b.base AND s.side = b.side)) AND day <> '' AND greatest(input, output, cache_read, cache_write) > 0 GROUP BY 2, 3")
+def copilot_usage(spark: SparkSession, folder: str) -> DataFrame:
+    """Usage of the logs and of the usage table by day and model, each session from one of the two."""
+    calls, _ = agents.copilot_calls(table(spark, folder, "copilot_lines"), table(spark, folder, "assistant_usage_events"))
+    return archive.by_day_model(calls)
+
+
+def _host_path_sql(c: str) -> str:
+    """host/path of a remote in any spelling, in lower case; NULL for what is no remote."""
+    host = f"CASE WHEN regexp_matches({c}, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN regexp_extract({c}, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@]*@)?([^/:]+)', 1) ELSE regexp_extract({c}, '^(?:[^@/:]+@)?([^/:@]+):', 1) END"
+    path = f"regexp_replace(regexp_replace(CASE WHEN regexp_matches({c}, '://') THEN regexp_extract({c}, '://[^/]*/(.*)$', 1) ELSE regexp_extract({c}, '^[^:]*:(.*)$', 1) END, '\\.git/*$', ''), '/+$', '')"
+    return f"lower({host} || '/' || {path})"
+
+
+def _repos(spark: SparkSession, folder: str) -> DataFrame:
+    remote = P.parse_remote(F.col("remote"))
+    return table(spark, folder, "projects").select(F.col("project").alias("repo"), "root_dir", F.concat_ws("/", remote["host"], remote["path"]).alias("remote"), "project_hash", F.array(P.remote_project_id(F.concat_ws("/", remote["host"], remote["path"]))).alias("ids"))
+
+
+_REPOS = f"repos AS (SELECT project AS repo, root_dir, {_host_path_sql('remote')} AS own, project_hash FROM projects)"
+_INSIDE = "(path = root_dir OR starts_with(path, root_dir || '/'))"
+
+
+@query(
+    f"WITH {_REPOS}, v AS (SELECT CASE WHEN json_valid(raw) AND json_type(raw) = 'OBJECT' THEN raw END AS j FROM codex_lines), s AS (SELECT DISTINCT json_extract_string(j, '$.payload.id') AS session, json_extract_string(j, '$.payload.cwd') AS path, {_host_path_sql("json_extract_string(j, '$.payload.git.repository_url')")} AS url "
+    f"FROM v WHERE json_extract_string(j, '$.payload.id') <> '' AND json_extract_string(j, '$.payload.cwd') IS NOT NULL) SELECT DISTINCT session, repo FROM s JOIN repos ON url = own OR ((url IS NULL OR own IS NULL) AND {_INSIDE})"
+)
+def codex_membership(spark: SparkSession, folder: str) -> DataFrame:
+    """The repositories each rollout session ran on."""
+    rec = json_object(F.col("raw"), "payload struct<id:string,cwd:string,git:struct<repository_url:string,commit_hash:string>>")["payload"]
+    url = P.parse_remote(F.col("p.git.repository_url"))
+    sessions = table(spark, folder, "codex_lines").select(rec.alias("p")).where("p.id <> '' AND p.cwd IS NOT NULL").select(F.col("p.id").alias("session"), F.col("p.cwd").alias("cwd"), F.concat_ws("/", url["host"], url["path"]).alias("url"), F.col("p.git.commit_hash").alias("sha")).distinct()
+    return membership.belonging(sessions, _repos(spark, folder), key="session", paths=["cwd"], remote="url", commits=["sha"])
+
+
+@query(f"WITH {_REPOS} SELECT DISTINCT file_path, repo FROM gemini_lines JOIN repos ON json_extract_string(CASE WHEN json_valid(raw) AND json_type(raw) = 'OBJECT' THEN raw END, '$.projectHash') = sha256(root_dir)")
+def gemini_membership(spark: SparkSession, folder: str) -> DataFrame:
+    """The repositories of each chat session, by the hash of the folder it ran in."""
+    sessions = table(spark, folder, "gemini_lines").select("file_path", json_object(F.col("raw"), "projectHash string")["projectHash"].alias("hash")).where("hash IS NOT NULL").distinct()
+    return membership.belonging_by_hash(sessions, _repos(spark, folder).select("repo", F.col("root_dir").alias("path")), key="file_path", hash_="hash")
+
+
+# Transcripts and telemetry: lines as their clients write them, made of the events.
+
+_TRANSCRIPTS = "tr AS (SELECT event_id, '/h/-w-' || (user_id % 40) || '/s' || user_id || CASE WHEN event_id % 5 = 0 THEN '/subagents/agent-1.jsonl' ELSE '.jsonl' END AS file_path, '/h/-w-' || (user_id % 40) AS folder, CASE WHEN event_id % 9 <> 0 THEN 'k' || (event_id % 4000) END AS id, CASE WHEN event_id % 101 <> 0 THEN strftime(ts, '%Y-%m-%d') ELSE '' END AS day, event_type AS model, CAST(floor(value * 100) AS BIGINT) AS input, event_id % 50 AS output FROM events)"
+
+
+def _transcripts(spark: SparkSession, folder: str) -> DataFrame:
+    e = table(spark, folder, "events")
+    path = F.concat(F.lit("/h/-w-"), (F.col("user_id") % 40).cast("string"), F.lit("/s"), F.col("user_id").cast("string"), F.when(F.col("event_id") % 5 == 0, "/subagents/agent-1.jsonl").otherwise(".jsonl"))
+    usage = F.struct(F.floor(F.col("value") * 100).cast("bigint").alias("input_tokens"), (F.col("event_id") % 50).alias("output_tokens"))
+    message = F.struct(F.when(F.col("event_id") % 9 != 0, F.concat(F.lit("k"), (F.col("event_id") % 4000).cast("string"))).alias("id"), F.col("event_type").alias("model"), usage.alias("usage"))
+    stamp = F.when(F.col("event_id") % 101 != 0, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"))
+    return e.select(path.alias("file_path"), F.col("event_id").alias("line_no"), F.col("event_id").alias("row_id"), F.to_json(F.struct(F.lit("assistant").alias("type"), stamp.alias("timestamp"), message.alias("message"))).alias("raw"))
+
+
+@query(
+    f"WITH {_TRANSCRIPTS}, w AS (SELECT '/h/-w-' || n_nationkey AS folder, '2024-01-0' || (1 + n_nationkey % 9) AS since, CASE WHEN n_nationkey % 3 = 0 THEN '2024-01-20' END AS until FROM nation), "
+    "i AS (SELECT * FROM tr WHERE day <> '' AND EXISTS (SELECT 1 FROM w WHERE w.folder = tr.folder AND day >= since AND (until IS NULL OR day <= until))) "
+    "SELECT id AS call_key, file_path AS session, day, model, input, output FROM i WHERE id IS NULL UNION ALL (SELECT id, file_path, day, model, input, output FROM i WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY file_path, event_id) = 1)"
+)
+def transcript_calls(spark: SparkSession, folder: str) -> DataFrame:
+    """Calls of transcripts in the windows of their folders, sub-agents under the folder of their session."""
+    n = F.col("n_nationkey")
+    windows = table(spark, folder, "nation").select(F.concat(F.lit("/h/-w-"), n.cast("string")).alias("folder"), F.concat(F.lit("2024-01-0"), (1 + n % 9).cast("string")).alias("since"), F.when(n % 3 == 0, "2024-01-20").alias("until"))
+    return agents.transcript_calls(_transcripts(spark, folder), windows).select("call_key", "session", "day", "model", "input", "output")
+
+
+@query(
+    "WITH t AS (SELECT event_id, coalesce(CASE WHEN event_id % 9 <> 0 THEN 'u' || (event_id % 3000) END, '/c/' || user_id || '.jsonl:' || event_id) AS key, '/c/' || user_id || '.jsonl' AS file_path, strftime(ts, '%Y-%m-%d') AS day, event_id % 70 AS i, event_id % 50 AS o, event_id % 13 AS c, event_id % 11 AS th, "
+    "CASE event_id % 4 WHEN 0 THEN 0 WHEN 1 THEN event_id % 70 + event_id % 50 END AS total, CASE WHEN event_id % 2 = 0 THEN 'openai' ELSE 'other' END AS auth FROM events), l AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY key ORDER BY file_path DESC, event_id DESC) = 1), "
+    "f AS (SELECT *, CASE WHEN coalesce(total, 0) = 0 AND auth = 'openai' THEN i + o ELSE total END AS sum FROM l) SELECT key AS call_key, day, greatest(0, i - c) AS input, o + CASE WHEN coalesce(sum = i + o, false) THEN 0 ELSE th END AS output, c AS cache_read FROM f"
+)
+def telemetry_calls(spark: SparkSession, folder: str) -> DataFrame:
+    """Calls of telemetry chats: the last write of each id, totals that are missing or 0 taken from the login type."""
+    n = F.col("event_id")
+    event = F.struct(F.lit(agents.EVENT).alias("event.name"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("event.timestamp"), F.col("event_type").alias("model"), F.when(n % 2 == 0, "openai").otherwise("other").alias("auth_type"), (n % 70).alias("input_token_count"), (n % 50).alias("output_token_count"), (n % 13).alias("cached_content_token_count"), (n % 11).alias("thoughts_token_count"), F.when(n % 4 == 0, 0).when(n % 4 == 1, n % 70 + n % 50).alias("total_token_count"))
+    uuid = F.when(n % 9 != 0, F.concat(F.lit("u"), (n % 3000).cast("string")))
+    raw = F.to_json(F.struct(uuid.alias("uuid"), F.struct(event.alias("uiEvent")).alias("systemPayload")))
+    lines_ = table(spark, folder, "events").select(F.concat(F.lit("/c/"), F.col("user_id").cast("string"), F.lit(".jsonl")).alias("file_path"), n.alias("line_no"), n.alias("row_id"), raw.alias("raw"))
+    return agents.telemetry_calls(lines_).select("call_key", "day", "input", "output", "cache_read")
+
+
+# Measuring
+
+
+@query(f"{with_views('commits')}, d AS (SELECT *, CASE WHEN is_merge THEN 'merge' WHEN pos % 7 = 0 THEN 'held' ELSE 'todo' END AS plan FROM commits) SELECT pos, CASE WHEN plan = 'todo' AND count(*) FILTER (plan = 'todo') OVER (ORDER BY pos) > 5000 THEN 'pending' ELSE plan END AS plan FROM d")
+def plan_measuring(spark: SparkSession, folder: str) -> DataFrame:
+    """What a run does with each commit when it may measure 5,000; every seventh is in the cache."""
+    commits = view(spark, folder, "commits")
+    return measuring.plan_measuring(commits, commits.where("pos % 7 = 0").select("pos"), 5000)
+
+
+@query(f"{with_views('commits', 'file_rows')} SELECT pos, CASE WHEN is_merge THEN 'merge' WHEN EXISTS (SELECT 1 FROM file_rows f WHERE f.pos = c.pos AND section = 'added') THEN 'ok' WHEN pos % 11 = 0 THEN 'failed' ELSE 'pending' END AS status FROM commits c")
+def commit_status(spark: SparkSession, folder: str) -> DataFrame:
+    commits = view(spark, folder, "commits")
+    return measuring.commit_status(commits, view(spark, folder, "file_rows").where("section = 'added'").select("pos"), commits.where("pos % 11 = 0").select("pos"))
+
+
+_KEPT = ("input_tokens", "cached_input_tokens", "output_tokens", "reasoning_output_tokens", "total_tokens", "cache_write_input_tokens")
 
 
 def _tally_sql(path: str) -> str:
     """A struct of counters as one text; NULL where none is an integer."""
-    cells = ", ".join(f"coalesce(CAST({_int_sql('j', f'{path}.{c}')} AS VARCHAR), '-')" for c in _KEPT)
+    cells = ", ".join(f"coalesce(CAST({_whole_sql('j', f'{path}.{c}')} AS VARCHAR), '-')" for c in _KEPT)
     return f"nullif(concat_ws('|', {cells}), '{'|'.join('-' * len(_KEPT))}')"
 
 
-_USED = ", ".join(f"coalesce({_int_sql('j', f'payload.usage.{c}')}, {_int_sql('j', f'payload.info.last_token_usage.{c}')}, 0) AS {n}" for c, n in zip(("input_tokens", "output_tokens", "cached_input_tokens", "cache_write_input_tokens"), "iorw", strict=True))
+_USED = ", ".join(f"coalesce({_whole_sql('j', f'payload.usage.{c}')}, {_whole_sql('j', f'payload.info.last_token_usage.{c}')}, 0) AS {n}" for c, n in zip(("input_tokens", "output_tokens", "cached_input_tokens", "cache_write_input_tokens"), "iorw", strict=True))
 _UUID7 = "'^[0-9a-f]{8}-[0-9a-f]{4}-7[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$'"
 _CODEX_CALLS = f"""WITH l AS (SELECT file_path, line_no, CASE WHEN json_valid(raw) AND json_type(raw) = 'OBJECT' THEN raw END AS j FROM codex_lines QUALIFY row_number() OVER (PARTITION BY file_path, line_no ORDER BY row_id) = 1),
     x AS (SELECT file_path, line_no, json_extract_string(j, '$.type') AS kind, coalesce(json_extract_string(j, '$.timestamp'), '') AS stamp, nullif(json_extract_string(j, '$.payload.id'), '') AS id, nullif(json_extract_string(j, '$.payload.forked_from_id'), '') AS parent,
@@ -603,6 +740,17 @@ def commit_table_search(spark: SparkSession, folder: str) -> DataFrame:
     return page.search(_selected(spark, folder), "ROUND", ["Human", "Codex"])
 
 
+@query(f"{_SEL} SELECT pos, local_date, agent, message, is_merge, added, removed, net FROM sel WHERE contains(lower(message), 'round') AND coalesce(nullif(agent, ''), 'Human') IN ('Human', 'Codex') ORDER BY added + removed DESC, pos DESC LIMIT 500")
+def commit_table_by_churn(spark: SparkSession, folder: str) -> DataFrame:
+    return page.search(_selected(spark, folder), "ROUND", ["Human", "Codex"], sort="churn")
+
+
+@query(f"{with_views('commits', 'file_rows', 'languages')}, {_MATRIX}, n AS (SELECT pos, sum(test_code_added + test_comment_added + test_blank_added - test_code_removed - test_comment_removed - test_blank_removed) AS net FROM matrix GROUP BY 1) SELECT c.pos, CAST(sum(coalesce(net, 0)) OVER (ORDER BY c.pos ROWS UNBOUNDED PRECEDING) AS BIGINT) AS cumulative FROM commits c LEFT JOIN n ON n.pos = c.pos")
+def test_cumulative(spark: SparkSession, folder: str) -> DataFrame:
+    """Running net of test lines."""
+    return page.test_cumulative(_matrix(spark, folder), view(spark, folder, "commits"))
+
+
 @query()
 def page_rows(spark: SparkSession, folder: str) -> DataFrame:
     """Every commit as the page's JSON tuple."""

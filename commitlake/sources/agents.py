@@ -149,7 +149,7 @@ def copilot_snapshots(lines: DataFrame) -> DataFrame:
     marks = materialise(parsed.where(kind.isin("session.start", "session.resume", "session.shutdown")).withColumn("tie", F.lit(0)), "session-marks")
     unnamed = F.when((kind == "session.start") & U.text(F.col("rec.data.sessionId")).isNull(), 1).otherwise(0)
     numbered = running_sum(marks, ["file_path"], "line_no", {"u_n": unnamed})
-    own = F.concat(folder, F.when(F.col("u_n") > 1, F.concat(F.lit("#"), F.col("u_n").cast("string"))).otherwise(""))
+    own = F.concat(folder, F.when(F.col("u_n") > 1, F.concat(F.lit("#"), (F.col("u_n") - 1).cast("string"))).otherwise(""))
     named = numbered.withColumns({"u_start": F.when(kind == "session.start", F.coalesce(U.text(F.col("rec.data.sessionId")), own)), "u_resume": F.when(kind == "session.resume", folder)})
     opened = carry_forward(named, ["file_path"], "line_no", "tie", "u_start", "u_open")
     opened = carry_forward(opened, ["file_path"], "line_no", "tie", "u_resume", "u_folder").withColumn("session", F.coalesce("u_open", "u_folder"))
@@ -163,7 +163,7 @@ def copilot_snapshots(lines: DataFrame) -> DataFrame:
         F.struct(F.coalesce("file_seq", F.lit(0)).alias("file_seq"), F.when(F.col("file_seq").isNull(), F.col("file_path")).alias("file_path"), "line_no").alias("at"),
         "day",
         "u_c.*",
-        F.greatest(F.lit(0), F.col("m.requests.count")).alias("calls"),
+        F.when(F.col("m.requests.count").isNotNull(), F.greatest(F.lit(0), F.col("m.requests.count"))).alias("calls"),
         _agrees(F.col("m.tokenDetails.input.tokenCount"), F.col("m.usage")).alias("valid"),
     )
 
@@ -193,6 +193,34 @@ def copilot_store_calls(events: DataFrame) -> DataFrame:
     return _calls(keyed.where(_agrees(own, F.col("u_u"))), "copilot", key=F.col("u_key"), session=F.col("session_id"), day=U.utc_day(F.coalesce("created_at", F.lit(""))), model=F.col("model"), counters=_copilot_counts(F.col("u_u")))
 
 
+#: First release that writes a row for each call (fixed value).
+ROWS_FROM = (1, 0, 69)
+
+
+def copilot_calls(lines: DataFrame, events: DataFrame, store: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Calls of the logs and of the usage table without counting a session twice, and the sessions held back (session).
+
+    A session of a release from ROWS_FROM on is read from its rows alone while there is a ``store``; where its rows are
+    gone it is held back, if its snapshots have tokens. An older one, or one whose start names no release, is read from
+    the side with more tokens, the rows on a tie. The numbered parts of a log without names are weighed as one.
+    """
+    base = F.substring_index("session", "#", 1).alias("base")
+    used = lambda df: df.where((F.col("day") != "") & (F.greatest(*U.COUNTERS) > 0))
+    size = lambda df: df.groupBy(base).agg(F.sum(sum((F.col(c) for c in U.COUNTERS[1:]), F.col(U.COUNTERS[0]))).alias("tokens"))
+    logged, rows = materialise(copilot_log_calls(lines), "logged"), materialise(copilot_store_calls(events), "stored")
+    start = once(lines).select("file_path", "line_no", json_object(F.col("raw"), "type string, data struct<sessionId:string,copilotVersion:string>").alias("rec")).where("rec.type = 'session.start' AND rec.data.copilotVersion <> ''")
+    named = F.coalesce(U.text(F.col("rec.data.sessionId")), F.regexp_extract("file_path", r"([^/]*)/[^/]*$", 1)).alias("base")
+    versions = start.groupBy(named).agg(F.min_by("rec.data.copilotVersion", F.struct("file_path", "line_no")).alias("version"))
+    both = size(used(logged)).withColumnRenamed("tokens", "in_logs").join(size(used(rows)).withColumnRenamed("tokens", "in_rows"), "base", "full")
+    present = events.where("session_id IS NOT NULL").select(F.col("session_id").alias("base"), F.lit(True).alias("has_rows")).distinct()
+    judged = both.join(present, "base", "left").join(versions, "base", "left").withColumn("rows_only", F.lit(store) & (U.version(F.col("version")) >= U.version_lit(*ROWS_FROM)))
+    side = F.when(F.col("rows_only"), F.when(F.col("has_rows"), "rows").otherwise("held")).when(F.col("has_rows").isNull(), "logs")
+    judged = materialise(judged.select("base", side.when(F.coalesce("in_rows", F.lit(0)) >= F.coalesce("in_logs", F.lit(0)), "rows").otherwise("logs").alias("side"), "in_logs"), "sides")
+    of = lambda df, side: df.withColumn("base", base).join(judged.where(F.col("side") == side).select("base"), "base", "left_semi").drop("base")
+    nameless = rows.where("session IS NULL")
+    return of(logged, "logs").unionByName(of(rows, "rows")).unionByName(nameless), judged.where("side = 'held' AND in_logs > 0").select(F.col("base").alias("session"))
+
+
 _CHAT = "id:string,type:string,timestamp:string,model:string,tokens:struct<input:bigint,output:bigint,cached:bigint,thoughts:bigint,tool:bigint,total:bigint>"
 
 

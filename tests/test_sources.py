@@ -115,11 +115,40 @@ def test_copilot_sessions_without_a_name(spark):
     shut = lambda i: {"type": "session.shutdown", "timestamp": "2026-01-01T00:00:00Z", "data": {"modelMetrics": {"m": metric(i)}}}
     start = {"type": "session.start", "data": {}}
     df = lines(spark, start, shut(100), start, shut(60), path="x/dir/events.jsonl")
-    assert sorted((r["session"], r["input"]) for r in agents.copilot_log_calls(df).collect()) == [("dir", 100), ("dir#2", 60)]
+    assert sorted((r["session"], r["input"]) for r in agents.copilot_log_calls(df).collect()) == [("dir", 100), ("dir#1", 60)]
     two = lines(spark, start, shut(100), path="x/dir/a.jsonl").unionByName(lines(spark, start, shut(130), path="x/dir/b.jsonl")).withColumn("file_seq", F.lit(None).cast("int"))
     assert sorted(r["input"] for r in agents.copilot_log_calls(two).collect()) == [30, 100]
 
 
+def test_copilot_sessions_are_counted_once(spark):
+    """By rows from the release that writes them on, else by the larger side; rows that are gone hold a session back."""
+    metric = lambda i: {"usage": {"inputTokens": i, "outputTokens": 0, "cacheReadTokens": 0, "cacheWriteTokens": 0}}
+    log = lambda s, v, i: [{"type": "session.start", "data": {"sessionId": s, "copilotVersion": v}}, {"type": "session.shutdown", "timestamp": "2026-01-01T00:00:00Z", "data": {"modelMetrics": {"m": metric(i)}}}]
+    df = lines(spark, *log("new", "1.0.70", 100), *log("gone", "1.0.69", 50), *log("old", "1.0.5", 100), *log("tie", None, 7), *log("alone", "1.0.5", 3), path="x/dir/events.jsonl")
+    events = spark.createDataFrame([(n, s, "m", i, 0, 0, 0, None, "2026-01-02T00:00:00Z", n) for n, (s, i) in enumerate([("new", 10), ("old", 60), ("old", 30), ("tie", 7), ("rows", 4)])], "id long, session_id string, model string, input_tokens long, output_tokens long, cache_read_tokens long, cache_write_tokens long, token_details_json string, created_at string, row_id long")
+    found, held = agents.copilot_calls(df, events)
+    assert sorted((r["session"], r["day"][-1], r["input"]) for r in found.collect()) == [("alone", "1", 3), ("new", "2", 10), ("old", "1", 100), ("rows", "2", 4), ("tie", "2", 7)]
+    assert [r["session"] for r in held.collect()] == ["gone"]
+    without, held = agents.copilot_calls(df, events.limit(0), store=False)
+    assert sorted((r["session"], r["input"]) for r in without.collect()) == [("alone", 3), ("gone", 50), ("new", 100), ("old", 100), ("tie", 7)] and held.isEmpty()
+
+
+def test_membership(spark):
+    from commitlake.operators import membership
+
+    repos = spark.createDataFrame([("a", "/work/a/", "forge.example/x/a", ["id-a"]), ("b", "/work/b", None, []), ("c", None, "forge.example/x/c", ["id-c"])], "repo string, root_dir string, remote string, ids array<string>")
+    rows = [("1", "/elsewhere", None, "Forge.example/x/A", None), ("2", "/work/a/./src/../lib", None, None, None), ("3", "/work/a", None, "forge.example/x/other", "h1"), ("4", "/work/a", None, "forge.example/x/other", "h2"), ("5", "/tmp", "/work/b/deep", "forge.example/x/z", None), ("6", "/work/ab", None, None, None), ("7", None, None, None, None), ("8", "work/a", None, "forge.example/x/c", None)]
+    sessions = spark.createDataFrame(rows, "s string, cwd string, root string, url string, sha string")
+    known = spark.createDataFrame([("a", "h1"), ("b", "h2")], "repo string, hash string")
+    found = membership.belonging(sessions, repos, key="s", paths=["cwd", "root"], remote="url", commits=["sha"], known=known)
+    assert sorted(map(tuple, found.collect())) == [("1", "a"), ("2", "a"), ("3", "a"), ("5", "b"), ("8", "c")]
+    by_id = membership.belonging_by_id(sessions.select("s", "cwd", F.when(F.col("s") == "1", "id-c").when(F.col("s") == "2", "global").when(F.col("s") == "3", "h1").when(F.col("s") == "4", "h2").alias("p")), repos, key="s", project="p", paths=["cwd"], known=known)
+    assert sorted(map(tuple, by_id.collect())) == [("1", "c"), ("2", "a"), ("3", "a")]
+    hashed = membership.belonging_by_hash(spark.range(1).select(F.lit("s").alias("s"), F.sha2(F.lit("/work/b"), 256).alias("h")), repos.select("repo", F.col("root_dir").alias("path")), key="s", hash_="h")
+    assert [tuple(r) for r in hashed.collect()] == [("s", "b")]
+    assert membership.belonging(sessions.limit(0), repos, key="s", paths=["cwd"], remote="url").isEmpty()
+
+
 def test_transcript_windows_and_undated_copies(spark):
     turn = lambda i, n, at: {"type": "assistant", "timestamp": at, "message": {"id": i, "model": "c", "usage": {"input_tokens": n}}}
     df = lines(spark, turn("x", 1, None), turn("x", 2, "2026-01-05T00:00:00Z"), turn("y", 3, "2026-01-01T00:00:00Z"), turn("y", 4, "2026-01-06T00:00:00Z"), path="/h/-work-a/s.jsonl")

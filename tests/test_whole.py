@@ -85,3 +85,32 @@ def test_no_intermediate_table_outside_of_a_shared_folder():
     cluster = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(getConf=lambda: conf, master="spark://host:7077"))
     with pytest.raises(RuntimeError):
         shared_dir(cluster)
+
+
+def test_results_kept_by_key(spark, tmp_path):
+    from commitlake.operators.measuring import KeyedCache
+
+    schema = "blob string, path string, lines long"
+    cache = KeyedCache(spark, str(tmp_path / "cache"), ["blob", "path"], schema)
+    rows = lambda *r: spark.createDataFrame(r, schema)
+    assert cache.rows().isEmpty() and cache.missing(rows(("a", "p", 1))).count() == 1
+    cache.put(rows(("a", "p", 1), ("a", "p", 2), ("b", "p", 3)))
+    cache.put(rows(("a", "p", 9), ("a", "q", 4), (None, "p", 5)))
+    again = KeyedCache(spark, str(tmp_path / "cache"), ["blob", "path"], schema)
+    assert sorted(map(tuple, again.rows().where("blob IS NOT NULL").collect())) == [("a", "p", 1), ("a", "p", 2), ("a", "q", 4), ("b", "p", 3)]
+    assert [tuple(r) for r in again.missing(rows(("a", "p", 1), ("c", "p", 1))).collect()] == [("c", "p", 1)]
+    assert again.get(rows(("a", "p", 0), ("a", "p", 0))).count() == 2
+    assert KeyedCache(spark, str(tmp_path / "cache"), ["blob", "path"], schema, version=2).rows().isEmpty()
+
+
+def test_as_of_beyond_its_limit(spark):
+    """The merge in sorted ranges gives what the array gives."""
+    import random
+
+    from commitlake.operators.archive import as_of
+
+    random.seed(2)
+    df = spark.createDataFrame([(i, random.choice([None, *range(-5, 320)])) for i in range(400)], "i int, at int")
+    releases = spark.createDataFrame([(n, f"r{n}" if n % 3 else None) for n in range(0, 300, 7)] + [(None, "x"), (7, "a")], "since int, v string")
+    small, large = (as_of(df, "at", releases, "since", "v", "found", limit=limit) for limit in (1000, 5))
+    assert sorted(map(repr, small.collect())) == sorted(map(repr, large.collect()))
