@@ -297,13 +297,13 @@ def _normalise(df: DataFrame, stamp: str, zone: str, source: list[str], order: s
     inside = Window.partitionBy("t_src", "t_blk").orderBy("t_ord", "t_tie")
     several = F.size("t_cands") > 1
     near = F.coalesce(F.lag(several).over(inside), F.lit(True)) | F.coalesce(F.lead(several).over(inside), F.lit(True))
-    chain = chain.withColumn("t_near", several | near).where("t_near").drop("t_near")
+    chain = materialise(chain.withColumn("t_near", several | near).where("t_near").drop("t_near"), "chain")  # read twice, and small
     kinds = T.StructType([f for f in chain.schema.fields if f.name in ("t_src", "t_blk")])
     states = next(f.dataType for f in chain.schema.fields if f.name == "t_cands")
     summary = T.StructType([*kinds.fields, T.StructField("first", states), T.StructField("last", states), T.StructField("matrix", T.ArrayType(T.ArrayType(T.DoubleType())))])
     ends = T.StructType([*kinds.fields, T.StructField("t_first", T.IntegerType()), T.StructField("t_last", T.IntegerType())])
     by_block = lambda df, *keys: df.repartition(*keys).sortWithinPartitions(*keys, *(c for c in ("t_blk", "t_ord", "t_tie") if c in df.columns and c not in keys))
-    levels = [materialise(chain.sortWithinPartitions("t_src", "t_blk", "t_ord", "t_tie").mapInPandas(_summarise, summary), "blocks")]
+    levels = [materialise(by_block(chain, "t_src", "t_blk").mapInPandas(_summarise, summary), "blocks")]
     above = lambda level: level.withColumn("t_sup", F.floor(F.col("t_blk") / fan))
     while not above(levels[-1]).groupBy("t_src").agg(F.count_distinct("t_sup").alias("n")).where("n > 1").isEmpty():
         levels.append(materialise(by_block(above(levels[-1]), "t_src", "t_sup").mapInPandas(_summarise_blocks, summary), "blocks"))
