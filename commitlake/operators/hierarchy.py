@@ -26,7 +26,7 @@ def links(copies: DataFrame, scope: list[str], node: str, parent: str) -> DataFr
     differ). Rows without a node are left out. A parent that is no node itself becomes NULL; a node may be its own
     parent.
     """
-    nodes = copies.where(F.col(node).isNotNull()).groupBy(*scope, F.col(node).alias("node")).agg(F.min(parent).alias("parent"))
+    nodes = materialise(copies.where(F.col(node).isNotNull()).groupBy(*scope, F.col(node).alias("node")).agg(F.min(parent).alias("parent")), "nodes")
     known = nodes.select(*scope, F.col("node").alias("parent"), F.lit(True).alias("known"))
     return nodes.join(known, [*scope, "parent"], "left").select(*scope, "node", F.when(F.col("known"), F.col("parent")).alias("parent"))
 
