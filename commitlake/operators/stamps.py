@@ -271,6 +271,18 @@ def normalise_stamps(
         return _normalise(df, stamp, zone, source, order, tie, keep, window, fold, block, fan)
 
 
+def _around_open(parsed: DataFrame, block: int) -> DataFrame:
+    """Records with several readings and their neighbours, by source and block, and the ends of blocks."""
+    open_sources = parsed.where(F.size("t_cands") > 1).select("t_src").distinct()
+    chain = parsed.where(F.size("t_cands") > 0).join(open_sources, "t_src", "left_semi").withColumn("t_blk", F.floor(F.col("t_ord") / block))
+    # asked for by name: the join's own partitioning, by source alone, would do for the windows and put a hot source in one task
+    chain = chain.repartition("t_src", "t_blk")
+    inside = Window.partitionBy("t_src", "t_blk").orderBy("t_ord", "t_tie")
+    several = F.size("t_cands") > 1
+    near = F.coalesce(F.lag(several).over(inside), F.lit(True)) | F.coalesce(F.lead(several).over(inside), F.lit(True))
+    return chain.withColumn("t_near", several | near).where("t_near").drop("t_near")
+
+
 def _normalise(df: DataFrame, stamp: str, zone: str, source: list[str], order: str, tie: str, keep: list[str], window: tuple[int, int], fold: str, block: int, fan: int) -> DataFrame:
     parsed = materialise(
         with_candidates(
@@ -290,14 +302,7 @@ def _normalise(df: DataFrame, stamp: str, zone: str, source: list[str], order: s
         "stamps",
     )
     settled = parsed.where(F.size("t_cands") < 2).select(*keep, F.try_element_at("t_cands", F.lit(1))["us"].alias("utc_us"))
-    open_sources = parsed.where(F.size("t_cands") > 1).select("t_src").distinct()
-    chain = parsed.where(F.size("t_cands") > 0).join(open_sources, "t_src", "left_semi").withColumn("t_blk", F.floor(F.col("t_ord") / block))
-    # asked for by name: the join's own partitioning, by source alone, would do for the windows and put a hot source in one task
-    chain = chain.repartition("t_src", "t_blk")
-    inside = Window.partitionBy("t_src", "t_blk").orderBy("t_ord", "t_tie")
-    several = F.size("t_cands") > 1
-    near = F.coalesce(F.lag(several).over(inside), F.lit(True)) | F.coalesce(F.lead(several).over(inside), F.lit(True))
-    chain = materialise(chain.withColumn("t_near", several | near).where("t_near").drop("t_near"), "chain")  # read twice, and small
+    chain = materialise(_around_open(parsed, block), "chain")  # read twice, and small
     kinds = T.StructType([f for f in chain.schema.fields if f.name in ("t_src", "t_blk")])
     states = next(f.dataType for f in chain.schema.fields if f.name == "t_cands")
     summary = T.StructType([*kinds.fields, T.StructField("first", states), T.StructField("last", states), T.StructField("matrix", T.ArrayType(T.ArrayType(T.DoubleType())))])

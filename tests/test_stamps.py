@@ -134,9 +134,9 @@ def test_a_hot_source_is_spread_over_its_blocks(spark):
     held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        df = spark.createDataFrame([("h", i, "03/04/2026 10:00:00", "UTC", None, None) for i in range(50)], "src string, ord long, stamp string, zone string, extra string, t_src string")
-        found = stamps.normalise_stamps(df, stamp="stamp", zone="zone", source=["src"], order="ord", tie="ord", keep=["src", "ord"], window=WIDE, block=10)
-        plan = found._jdf.queryExecution().executedPlan().toString()
+        cands = [("dmy", 1, 0.0), ("mdy", 2, 0.0)]
+        df = spark.createDataFrame([(i % 2, i, i, cands) for i in range(50)], "t_src long, t_ord long, t_tie long, t_cands array<struct<fmt:string,us:long,cost:double>>")
+        plan = stamps._around_open(df, 10)._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
     window = plan[plan.index("Window [") :]
