@@ -287,14 +287,18 @@ def transcript_calls(lines: DataFrame, windows: DataFrame | None = None) -> Data
     their file lies in; both are tested before the copies, so a copy that counts is not lost to one that does not.
     """
     shape = "type string, timestamp string, uuid string, requestId string, message struct<id:string,model:string,usage:struct<input_tokens:bigint,output_tokens:bigint,cache_read_input_tokens:bigint,cache_creation_input_tokens:bigint>>"
-    parsed = lines.where(F.col("raw").contains('"usage"')).select("file_path", "line_no", "row_id", json_object(F.col("raw"), shape).alias("rec")).where("rec.type = 'assistant' AND rec.message.usage IS NOT NULL")
-    dated = parsed.withColumn("u_day", U.utc_day(F.coalesce("rec.timestamp", F.lit("")))).where("u_day <> ''")
+    parsed = lines.where(F.col("raw").contains('"usage"')).select("file_path", "line_no", "row_id", json_object(F.col("raw"), shape).alias("rec"))
+    m, u = F.col("rec.message"), F.col("rec.message.usage")
+    flat = parsed.select(
+        "file_path", "line_no", "row_id", F.col("rec.type").alias("kind"), U.utc_day(F.coalesce("rec.timestamp", F.lit(""))).alias("u_day"), m["model"].alias("model"), u.isNotNull().alias("used"),
+        F.coalesce(U.text(m["id"]), U.text(F.col("rec.requestId")), U.text(F.col("rec.uuid"))).alias("u_key"),
+        U.additive(u["input_tokens"], u["output_tokens"], u["cache_read_input_tokens"], u["cache_creation_input_tokens"]).alias("counts"),
+    )
+    dated = materialise(flat, "transcripts").where("kind = 'assistant' AND used AND u_day <> ''")  # every line is parsed once
     if windows is not None:
         dated = in_windows(dated.withColumn("u_folder", transcript_folder(F.col("file_path"))), "u_folder", "u_day", windows.withColumnRenamed("folder", "path")).drop("u_folder")
-    keyed = dated.withColumn("u_key", F.coalesce(U.text(F.col("rec.message.id")), U.text(F.col("rec.requestId")), U.text(F.col("rec.uuid"))))
-    u = F.col("rec.message.usage")
-    kept = first_of_key(keyed, "u_key", ["file_path", "line_no", "row_id"])
-    return _calls(kept, "claude-code", key=F.col("u_key"), session=F.col("file_path"), day=F.col("u_day"), model=F.col("rec.message.model"), counters=U.additive(u["input_tokens"], u["output_tokens"], u["cache_read_input_tokens"], u["cache_creation_input_tokens"]))
+    kept = first_of_key(dated, "u_key", ["file_path", "line_no", "row_id"])
+    return _calls(kept, "claude-code", key=F.col("u_key"), session=F.col("file_path"), day=F.col("u_day"), model=F.col("model"), counters=F.col("counts"))
 
 
 def transcript_folder(path: Column) -> Column:
