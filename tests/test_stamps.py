@@ -2,7 +2,6 @@ import random
 from datetime import datetime, timezone
 
 import pytest
-from pyspark.sql import functions as F
 
 from commitlake.operators import stamps
 
